@@ -123,8 +123,10 @@ def created_boundary_column(value: Column, upper: bool = False) -> Column:
     text = F.when(value.contains("T"), value).otherwise(F.concat(value, F.lit(fallback)))
     zoned = text.rlike(r"(?i)(Z|[+-]\d{2}:?\d{2})$")
     # Spark reads +hh:mm but not +hhmm.
-    spelled = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    moment = F.when(zoned, spelled).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp").cast("timestamp_ntz")
+    spelled = F.when(zoned, F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")).otherwise(text)
+    # A time to the minute is not enough for the cast either.
+    spelled = F.regexp_replace(spelled, r"T(\d{2}:\d{2})($|Z|z|[+-])", "T$1:00$2")
+    moment = F.when(zoned, spelled).otherwise(F.concat(spelled, F.lit("Z"))).try_cast("timestamp").cast("timestamp_ntz")
     if not upper:
         return moment
     whole_minute = F.timestamp_add("MILLISECOND", F.lit(59_999), moment)

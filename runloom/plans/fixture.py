@@ -25,7 +25,20 @@ _RUN = "cast(floor(value * 100) as bigint)"
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shared base: one job per event, with its times in milliseconds."""
-    return jobs_of(configure(spark).read.parquet(f"{sf_dir}/events.parquet"))
+    return jobs_of(_events(spark, sf_dir))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return configure(spark).read.parquet(f"{sf_dir}/events.parquet")
+
+
+def _spread(events: DataFrame) -> DataFrame:
+    """Give every core a share of a table that is too small to be split.
+
+    Parsing is all computation. A table of many splits is left as it is.
+    """
+    cores = events.sparkSession.sparkContext.defaultParallelism
+    return events.repartition(cores) if events.rdd.getNumPartitions() < cores // 2 else events
 
 
 def jobs_of(events: DataFrame) -> DataFrame:
@@ -174,7 +187,7 @@ def messages_of(base: DataFrame) -> DataFrame:
 
 
 def job_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages_of(jobs(spark, sf_dir))
+    return messages_of(jobs_of(_spread(_events(spark, sf_dir))))
 
 
 _LOG_PAYLOAD = """
@@ -214,7 +227,7 @@ def log_messages_of(base: DataFrame) -> DataFrame:
 
 
 def log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_messages_of(jobs(spark, sf_dir))
+    return log_messages_of(jobs_of(_spread(_events(spark, sf_dir))))
 
 
 def job_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

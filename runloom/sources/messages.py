@@ -1,7 +1,7 @@
 """Reading job and log messages: JSON text in, typed rows and rejects out.
 
-A payload is parsed once into a VARIANT, which keeps the difference between a
-missing, a null and a wrongly typed field that a fixed schema would lose.
+A payload is read once, with VARIANT leaves, which keep the difference between
+a missing, a null and a wrongly typed field that typed leaves would lose.
 """
 
 from __future__ import annotations
@@ -10,128 +10,150 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runloom.functions.status import derive_status
 from runloom.functions.text import join_lines
-from runloom.functions.time import duration_overflows, from_epoch_ms
+from runloom.functions.time import from_epoch_ms
 from runloom.schemas import EVENT_PHASES, JOB_STATUSES, LOG_LEVELS, RUN_KEY, RUN_VALUES
 
 REJECT = "reject_reason"
 _DOC = "_doc"
+_BAD = "_unreadable"
+# JSON as producers write it, without the reader's usual lenience.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": _BAD}
 
 
-def _at(path: str) -> Column:
-    return F.try_variant_get(F.col(_DOC), f"$.{path}", "variant")
+def _leaves(*names: str) -> str:
+    return ", ".join(f"{n} variant" for n in names)
 
 
-def _kind(path: str) -> Column:
-    """Type name of a field; NULL where the field is missing, VOID where it is null."""
-    return F.schema_of_variant(_at(path))
+_JOB_SCHEMA = (
+    f"{_BAD} string, " + _leaves("version", "eventId", "workerId", "queueName", "phase", "state", "tags")
+    + ", job struct<" + _leaves(
+        "id", "name", "timestamp", "attemptsMade", "processedOn", "finishedOn", "failedReason", "stacktrace",
+        "repeatJobKey", "data", "returnvalue",
+    ).replace(" variant", ":variant") + ", opts:struct<" + _leaves(
+        "attempts", "priority", "delay", "backoff", "parent"
+    ).replace(" variant", ":variant") + ">>"
+)
+_LOG_SCHEMA = f"{_BAD} string, " + _leaves(
+    "version", "workerId", "queueName", "jobId", "jobTimestamp", "logTimestamp", "logSeq", "level", "message"
+)
 
 
-def _text(path: str) -> Column:
-    return F.try_variant_get(F.col(_DOC), f"$.{path}", "string")
+def _leaf(path: str) -> Column:
+    return F.col(f"{_DOC}.{path}")
 
 
-def _number(path: str) -> Column:
-    return F.try_variant_get(F.col(_DOC), f"$.{path}", "double")
+def _kind(leaf: Column) -> Column:
+    """Type name of a field: ``-`` where it is missing, VOID where it is null."""
+    return F.coalesce(F.schema_of_variant(leaf), F.lit("-"))
 
 
-def _millis(path: str) -> Column:
-    return F.try_variant_get(F.col(_DOC), f"$.{path}", "double").cast("long")
+def _get(leaf: Column, kind: str) -> Column:
+    return F.try_variant_get(leaf, "$", kind)
 
 
-def _json(path: str) -> Column:
-    """A nested value as canonical JSON text; a JSON null is no value."""
-    return F.when(_kind(path) != "VOID", F.to_json(_at(path)))
+def _text(path: str) -> Column:
+    return _get(_leaf(path), "string")
 
 
-def _is(path: str, kind: str) -> Column:
-    return F.coalesce(_kind(path) == kind, F.lit(False))
+def _number(path: str) -> Column:
+    return _get(_leaf(path), "double")
 
 
-def _missing(path: str) -> Column:
-    return _kind(path).isNull()
+def _millis(path: str) -> Column:
+    return _number(path).cast("long")
 
 
-def _null(path: str) -> Column:
-    return _is(path, "VOID")
+def _json(path: str) -> Column:
+    """A nested value as canonical JSON text; a JSON null is no value."""
+    return F.nullif(F.to_json(_leaf(path)), F.lit("null"))
 
 
-def _is_number(path: str) -> Column:
-    return F.coalesce(_kind(path).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.lit(False))
+def _is_text(leaf: Column, optional: bool = False, nullable: bool = False) -> Column:
+    return _kind(leaf).isin(["STRING"] + ["-"] * optional + ["VOID"] * nullable)
 
 
-def _is_integer(path: str, bits: int) -> Column:
-    value, limit = _number(path), 2 ** (bits - 1)
-    whole = (value == F.floor(value)) & value.between(-limit, limit - 1)
-    return _is_number(path) & F.coalesce(whole, F.lit(False))
+def _one_of(path: str, values: list[str], optional: bool = False) -> Column:
+    return _is_text(_leaf(path), optional) & F.coalesce(_text(path).isin(values), F.lit(True))
 
 
-def _is_object(path: str) -> Column:
-    return F.coalesce(_kind(path).startswith("OBJECT"), F.lit(False))
+def _is_number(path: str, optional: bool = False, nullable: bool = False) -> Column:
+    kind = _kind(_leaf(path))
+    return kind.isin(["BIGINT", "DOUBLE"] + ["-"] * optional + ["VOID"] * nullable) | kind.startswith("DECIMAL")
 
 
-def _is_text_list(path: str) -> Column:
-    items = F.try_variant_get(F.col(_DOC), f"$.{path}", "array<string>")
-    no_null = ~F.exists(items, lambda x: x.isNull())
-    empty = _is(path, "ARRAY<VOID>") & (F.size(items) == 0)
-    return F.coalesce((_is(path, "ARRAY<STRING>") & no_null) | empty, F.lit(False))
+def _is_integer(path: str, bits: int, optional: bool = False, nullable: bool = False) -> Column:
+    kind, limit = _kind(_leaf(path)), 2 ** (bits - 1)
+    value = _number(path)
+    in_range = lambda number: number.between(-limit, limit - 1)
+    return (
+        F.when(kind == "BIGINT", in_range(_get(_leaf(path), "bigint")))
+        .when((kind == "DOUBLE") | kind.startswith("DECIMAL"), (value == F.floor(value)) & in_range(value))
+        .otherwise(kind.isin(["-"] * optional + ["VOID"] * nullable) if optional or nullable else F.lit(False))
+    )
 
 
-def _first_failing(checks: list[tuple[str, Column]]) -> Column:
-    return F.coalesce(*[F.when(~ok, F.lit(reason)) for reason, ok in checks])
+def _is_text_list(leaf: Column) -> Column:
+    """A list of texts, or no list at all. An empty list has elements of no type."""
+    items = _get(leaf, "array<string>")
+    return (
+        F.when(_kind(leaf) == "-", F.lit(True))
+        .when(_kind(leaf) == "ARRAY<STRING>", ~F.exists(items, lambda x: x.isNull()))
+        .otherwise((_kind(leaf) == "ARRAY<VOID>") & (F.size(items) == 0))
+    )
 
 
-def _parsed(messages: DataFrame, payload: str) -> DataFrame:
-    return messages.withColumn(_DOC, F.try_parse_json(F.col(payload)))
+def _is_list(leaf: Column) -> Column:
+    return _kind(leaf).isin("-", "VOID") | _kind(leaf).startswith("ARRAY")
 
 
 def _envelope(payload: str) -> list[tuple[str, Column]]:
-    version = _is_number("version") & F.coalesce(_number("version") == 1, F.lit(False))
     return [
         ("missing_payload", F.coalesce(F.col(payload) != "", F.lit(False))),
-        ("bad_json", F.col(_DOC).isNotNull()),
-        ("bad_version", version),
+        ("bad_json", _leaf(_BAD).isNull() | _leaf("version").isNotNull()),
+        ("bad_version", _is_number("version") & F.coalesce(_number("version") == 1, F.lit(False))),
     ]
 
 
-def _optional(path: str, check: Column, nullable: bool = False) -> Column:
-    ok = _missing(path) | check
-    return ok | _null(path) if nullable else ok
-
-
-
-
 def _job_checks(payload: str) -> list[tuple[str, Column]]:
-    text = lambda path: _is(path, "STRING")
-    stack = F.coalesce(_kind("job.stacktrace").startswith("ARRAY"), F.lit(False))
+    parent = F.try_variant_get(_leaf("job.opts.parent"), "$.id", "variant")
     return _envelope(payload) + [
-        ("bad_event_id", _optional("eventId", text("eventId"))),
-        ("bad_worker_id", _optional("workerId", text("workerId"))),
-        ("bad_queue_name", text("queueName")),
-        ("bad_phase", _optional("phase", text("phase") & F.coalesce(_text("phase").isin(EVENT_PHASES), F.lit(False)))),
-        ("bad_state", _optional("state", text("state") & F.coalesce(_text("state").isin(JOB_STATUSES), F.lit(False)))),
-        ("bad_tags", _optional("tags", _is_text_list("tags"))),
-        ("bad_job", _is_object("job")),
-        ("bad_job_id", text("job.id") & F.coalesce(_text("job.id") != "", F.lit(False))),
+        ("bad_event_id", _is_text(_leaf("eventId"), optional=True)),
+        ("bad_worker_id", _is_text(_leaf("workerId"), optional=True)),
+        ("bad_queue_name", _is_text(_leaf("queueName"))),
+        ("bad_phase", _one_of("phase", EVENT_PHASES, optional=True)),
+        ("bad_state", _one_of("state", JOB_STATUSES, optional=True)),
+        ("bad_tags", _is_text_list(_leaf("tags"))),
+        ("bad_job", _leaf("job").isNotNull()),
+        ("bad_job_id", _is_text(_leaf("job.id")) & F.coalesce(_text("job.id") != "", F.lit(False))),
         ("bad_timestamp", _is_number("job.timestamp")),
-        ("bad_opts", _is_object("job.opts")),
-        ("bad_attempts_made", _optional("job.attemptsMade", _is_integer("job.attemptsMade", 16))),
-        ("bad_max_attempts", _optional("job.opts.attempts", _is_integer("job.opts.attempts", 16))),
-        ("bad_priority", _optional("job.opts.priority", _is_integer("job.opts.priority", 32), nullable=True)),
-        ("bad_delay", _optional("job.opts.delay", _is_integer("job.opts.delay", 32))),
-        ("bad_parent", _optional("job.opts.parent.id", text("job.opts.parent.id"), nullable=True)),
-        ("bad_name", _optional("job.name", text("job.name"), nullable=True)),
-        ("bad_repeat_key", _optional("job.repeatJobKey", text("job.repeatJobKey"), nullable=True)),
-        ("bad_failed_reason", _optional("job.failedReason", text("job.failedReason"), nullable=True)),
-        ("bad_stacktrace", _optional("job.stacktrace", stack, nullable=True)),
-        ("bad_processed_on", _optional("job.processedOn", _is_number("job.processedOn"), nullable=True)),
-        ("bad_finished_on", _optional("job.finishedOn", _is_number("job.finishedOn"), nullable=True)),
+        ("bad_opts", _leaf("job.opts").isNotNull()),
+        ("bad_attempts_made", _is_integer("job.attemptsMade", 16, optional=True)),
+        ("bad_max_attempts", _is_integer("job.opts.attempts", 16, optional=True)),
+        ("bad_priority", _is_integer("job.opts.priority", 32, optional=True, nullable=True)),
+        ("bad_delay", _is_integer("job.opts.delay", 32, optional=True)),
+        ("bad_parent", _is_text(parent, optional=True, nullable=True)),
+        ("bad_name", _is_text(_leaf("job.name"), optional=True, nullable=True)),
+        ("bad_repeat_key", _is_text(_leaf("job.repeatJobKey"), optional=True, nullable=True)),
+        ("bad_failed_reason", _is_text(_leaf("job.failedReason"), optional=True, nullable=True)),
+        ("bad_stacktrace", _is_list(_leaf("job.stacktrace"))),
+        ("bad_processed_on", _is_number("job.processedOn", optional=True, nullable=True)),
+        ("bad_finished_on", _is_number("job.finishedOn", optional=True, nullable=True)),
+        ("duration_overflow", _fits_int("job.processedOn", "job.finishedOn")),
     ]
 
 
+def _moment(path: str) -> Column:
+    return from_epoch_ms(F.nullif(_millis(path), F.lit(0)))
+
+
+def _fits_int(start: str, end: str) -> Column:
+    """Whether the time between two instants fits an INT of milliseconds."""
+    first, last = F.nullif(_number(start), F.lit(0.0)), F.nullif(_number(end), F.lit(0.0))
+    return F.coalesce((last - first).between(-(2**31), 2**31 - 1), F.lit(True))
+
+
 def _job_fields() -> dict[str, Column]:
-    moment = lambda path: from_epoch_ms(F.nullif(_millis(path), F.lit(0)))
     created = from_epoch_ms(_millis("job.timestamp"))
-    stack = F.try_variant_get(F.col(_DOC), "$.job.stacktrace", "array<string>")
     number = lambda path, kind, default: F.coalesce(_number(path).try_cast(kind), F.lit(default).cast(kind))
     return {
         "queue": _text("queueName"),
@@ -141,7 +163,7 @@ def _job_fields() -> dict[str, Column]:
             _text("state"), _number("job.finishedOn"), _text("job.failedReason"),
             F.coalesce(_text("phase"), F.lit("snapshot")),
         ),
-        "tags": F.coalesce(F.try_variant_get(F.col(_DOC), "$.tags", "array<string>"), F.array().cast("array<string>")),
+        "tags": F.coalesce(_get(_leaf("tags"), "array<string>"), F.array().cast("array<string>")),
         "name": _text("job.name"),
         "attempt": number("job.attemptsMade", "smallint", 0),
         "max_attempts": number("job.opts.attempts", "smallint", 1),
@@ -149,44 +171,51 @@ def _job_fields() -> dict[str, Column]:
         "delay_ms": number("job.opts.delay", "int", 0),
         "backoff": _json("job.opts.backoff"),
         "repeat_job_key": _text("job.repeatJobKey"),
-        "parent_job_id": _text("job.opts.parent.id"),
+        "parent_job_id": F.try_variant_get(_leaf("job.opts.parent"), "$.id", "string"),
         "worker_id": _text("workerId"),
         "data": _json("job.data"),
         "result": _json("job.returnvalue"),
         "error_message": _text("job.failedReason"),
-        "error_stack": join_lines(stack),
+        "error_stack": join_lines(_get(_leaf("job.stacktrace"), "array<string>")),
         "created_at": created,
-        "started_at": moment("job.processedOn"),
-        "finished_at": moment("job.finishedOn"),
+        "started_at": _moment("job.processedOn"),
+        "finished_at": _moment("job.finishedOn"),
     }
 
 
+def _read(
+    messages: DataFrame, payload: str, schema: str, checks: list[tuple[str, Column]], fields: dict[str, Column]
+) -> DataFrame:
+    kept = list(messages.columns)
+    # The document comes out of a generator because filters on the reject reason
+    # would otherwise be pushed below the parse and repeat it for every field.
+    document = F.explode(F.array(F.from_json(payload, schema, _STRICT))).alias(_DOC)
+    reason = F.coalesce(*[F.when(~ok, F.lit(reason)) for reason, ok in checks])
+    rows = [column.alias(name) for name, column in fields.items()]
+    return messages.select(*kept, document).select(*kept, reason.alias(REJECT), *rows)
+
+
 def parse_job_messages(messages: DataFrame, payload: str = "payload") -> DataFrame:
     """Run rows of job messages, each with its reject reason (NULL when valid).
 
     The other columns of the messages (arrival order, batch) pass through, and
-    so does the payload, which the rejects table keeps.
+    so does the payload, which the rejects table keeps. The fields of refused
+    messages mean nothing.
     """
-    kept = list(messages.columns)
-    checked = _parsed(messages, payload).withColumn(REJECT, _first_failing(_job_checks(payload)))
-    valid = F.col(REJECT).isNull()
-    fields = [F.when(valid, column).alias(name) for name, column in _job_fields().items()]
-    rows = checked.select(*kept, REJECT, *fields)
-    return rows.withColumn(REJECT, F.coalesce(REJECT, F.when(duration_overflows(), F.lit("duration_overflow"))))
+    return _read(messages, payload, _JOB_SCHEMA, _job_checks(payload), _job_fields())
 
 
 def parse_log_messages(messages: DataFrame, payload: str = "payload") -> DataFrame:
     """Log rows of log messages, each with its reject reason (NULL when valid)."""
-    text = lambda path: _is(path, "STRING")
     checks = _envelope(payload) + [
-        ("bad_worker_id", text("workerId")),
-        ("bad_queue_name", text("queueName")),
-        ("bad_job_id", text("jobId")),
+        ("bad_worker_id", _is_text(_leaf("workerId"))),
+        ("bad_queue_name", _is_text(_leaf("queueName"))),
+        ("bad_job_id", _is_text(_leaf("jobId"))),
         ("bad_job_timestamp", _is_number("jobTimestamp")),
         ("bad_log_timestamp", _is_number("logTimestamp")),
         ("bad_log_seq", _is_integer("logSeq", 32)),
-        ("bad_level", text("level") & F.coalesce(_text("level").isin(LOG_LEVELS), F.lit(False))),
-        ("bad_message", text("message")),
+        ("bad_level", _one_of("level", LOG_LEVELS)),
+        ("bad_message", _is_text(_leaf("message"))),
     ]
     fields = {
         "queue": _text("queueName"),
@@ -197,10 +226,7 @@ def parse_log_messages(messages: DataFrame, payload: str = "payload") -> DataFra
         "level": _text("level"),
         "message": _text("message"),
     }
-    kept = list(messages.columns)
-    checked = _parsed(messages, payload).withColumn(REJECT, _first_failing(checks))
-    valid = F.col(REJECT).isNull()
-    return checked.select(*kept, REJECT, *[F.when(valid, column).alias(name) for name, column in fields.items()])
+    return _read(messages, payload, _LOG_SCHEMA, checks, fields)
 
 
 def valid_rows(parsed: DataFrame, payload: str = "payload") -> DataFrame:
