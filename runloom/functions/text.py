@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 # Fixed value: terminal escape sequences as the log producers strip them.
 ANSI_ESCAPE = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
 
+_DIGEST = "^(.{8})(.{4})(.{3})(.{3})(.{12}).*$"
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}", re.IGNORECASE)
 
 
@@ -67,11 +68,9 @@ def uuid_of(*parts: Column) -> Column:
     Reruns give the same id, which keeps every write idempotent.
     """
     tagged = [F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]
-    digest = F.sha2(F.concat(*tagged), 256)
-    piece = lambda start, size: F.substring(digest, start, size)
-    return F.concat(
-        piece(1, 8), F.lit("-"), piece(9, 4), F.lit("-8"), piece(13, 3), F.lit("-8"), piece(16, 3), F.lit("-"), piece(19, 12)
-    )
+    # One reference to the digest: an id that is filtered or joined on gets
+    # copied into several places of a plan.
+    return F.regexp_replace(F.sha2(F.concat(*tagged), 256), _DIGEST, "$1-$2-8$3-8$4-$5")
 
 
 def run_id() -> Column:

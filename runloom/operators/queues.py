@@ -79,8 +79,8 @@ def queues_page(
     """One page of queues by a live count or by pressure.
 
     Runs and hours are reduced to one row per queue before they meet the queue
-    table; schedulers are only gathered for the queues of the page. Pressure is
-    zero unless it is the sort key.
+    table, and the schedulers of each queue join the finished page, so the runs
+    are read once. Pressure is zero unless it is the sort key.
     """
     check_limit(limit)
     check_choice("sort_by", sort_by, METRICS)
@@ -107,8 +107,7 @@ def queues_page(
     ]
     fields = {name: F.col(name) for name in ["name", *METRICS]}
     page = cut_page(rows, order, limit, cursor_direction, cursor is not None, fields)
-    of_page = schedulers.join(page.rows.select(F.col("id").alias("queue_id")), "queue_id", "left_semi")
-    lists = scheduler_lists(of_page).withColumnRenamed("queue_id", "id")
+    lists = scheduler_lists(schedulers).withColumnRenamed("queue_id", "id")
     full = page.rows.join(lists, "id", "left").select(
         "name", "is_paused",
         F.coalesce("patterns", F.array().cast("array<string>")).alias("patterns"),

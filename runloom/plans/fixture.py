@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from runloom.functions.text import canonical_json, log_id, run_id, uuid_of
 from runloom.functions.time import duration_ms
 from runloom.schemas import RUN_VALUES
-from runloom.session import configure
+from runloom.session import configure, spread
 
 # The instant at which every registered question is asked.
 AS_OF = datetime(2024, 1, 31)
@@ -32,15 +32,6 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/events.parquet")
 
 
-def _spread(events: DataFrame) -> DataFrame:
-    """Give every core a share of a table that is too small to be split.
-
-    Parsing is all computation. A table of many splits is left as it is.
-    """
-    cores = events.sparkSession.sparkContext.defaultParallelism
-    return events.repartition(cores) if events.rdd.getNumPartitions() < cores // 2 else events
-
-
 def jobs_of(events: DataFrame) -> DataFrame:
     """The same base from a frame or stream of events."""
     base = events.selectExpr(
@@ -187,7 +178,7 @@ def messages_of(base: DataFrame) -> DataFrame:
 
 
 def job_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages_of(jobs_of(_spread(_events(spark, sf_dir))))
+    return messages_of(jobs_of(spread(_events(spark, sf_dir))))
 
 
 _LOG_PAYLOAD = """
@@ -227,7 +218,7 @@ def log_messages_of(base: DataFrame) -> DataFrame:
 
 
 def log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_messages_of(jobs_of(_spread(_events(spark, sf_dir))))
+    return log_messages_of(jobs_of(spread(_events(spark, sf_dir))))
 
 
 def job_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

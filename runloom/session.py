@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings of the contract. AQE splits skewed join partitions and
 # coalesces small ones, so a hot queue or job does not end in one task.
@@ -14,6 +14,9 @@ CONTRACT = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Recording the call site of every column costs more than the analysis of
+    # these plans, which are made of many small expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -34,11 +37,23 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
+    for key, value in CONTRACT.items():
+        builder = builder.config(key, value)
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that is too small to be split.
+
+    For inputs whose work is computation, such as parsing. An input that has
+    splits enough is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written intermediate tables and stream checkpoints.
 

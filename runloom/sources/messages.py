@@ -20,21 +20,24 @@ _BAD = "_unreadable"
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": _BAD}
 
 
-def _leaves(*names: str) -> str:
-    return ", ".join(f"{n} variant" for n in names)
+def _leaves(kind: str, *names: str) -> str:
+    return ", ".join(f"{n} {kind}" for n in names)
 
 
+# Numbers that may be null are typed: the reader itself marks other types.
+_OPTS_SCHEMA = _leaves("double", "priority") + ", " + _leaves("variant", "attempts", "delay", "backoff", "parent")
+_BODY_SCHEMA = (
+    _leaves("double", "timestamp", "processedOn", "finishedOn") + ", "
+    + _leaves("variant", "id", "name", "attemptsMade", "failedReason", "stacktrace", "repeatJobKey", "data", "returnvalue")
+    + f", opts struct<{_OPTS_SCHEMA}>"
+)
 _JOB_SCHEMA = (
-    f"{_BAD} string, " + _leaves("version", "eventId", "workerId", "queueName", "phase", "state", "tags")
-    + ", job struct<" + _leaves(
-        "id", "name", "timestamp", "attemptsMade", "processedOn", "finishedOn", "failedReason", "stacktrace",
-        "repeatJobKey", "data", "returnvalue",
-    ).replace(" variant", ":variant") + ", opts:struct<" + _leaves(
-        "attempts", "priority", "delay", "backoff", "parent"
-    ).replace(" variant", ":variant") + ">>"
+    f"{_BAD} string, " + _leaves("variant", "version", "eventId", "workerId", "queueName", "phase", "state", "tags")
+    + f", job struct<{_BODY_SCHEMA}>"
 )
-_LOG_SCHEMA = f"{_BAD} string, " + _leaves(
-    "version", "workerId", "queueName", "jobId", "jobTimestamp", "logTimestamp", "logSeq", "level", "message"
+_LOG_SCHEMA = (
+    f"{_BAD} string, " + _leaves("double", "jobTimestamp", "logTimestamp") + ", "
+    + _leaves("variant", "version", "workerId", "queueName", "jobId", "logSeq", "level", "message")
 )
 
 
@@ -60,7 +63,7 @@ def _number(path: str) -> Column:
 
 
 def _millis(path: str) -> Column:
-    return _number(path).cast("long")
+    return _leaf(path).cast("long")
 
 
 def _json(path: str) -> Column:
@@ -76,19 +79,17 @@ def _one_of(path: str, values: list[str], optional: bool = False) -> Column:
     return _is_text(_leaf(path), optional) & F.coalesce(_text(path).isin(values), F.lit(True))
 
 
-def _is_number(path: str, optional: bool = False, nullable: bool = False) -> Column:
-    kind = _kind(_leaf(path))
-    return kind.isin(["BIGINT", "DOUBLE"] + ["-"] * optional + ["VOID"] * nullable) | kind.startswith("DECIMAL")
+def _whole(number: Column, bits: int) -> Column:
+    limit = 2 ** (bits - 1)
+    return (number == F.floor(number)) & number.between(-limit, limit - 1)
 
 
-def _is_integer(path: str, bits: int, optional: bool = False, nullable: bool = False) -> Column:
+def _is_integer(path: str, bits: int, optional: bool = False) -> Column:
     kind, limit = _kind(_leaf(path)), 2 ** (bits - 1)
-    value = _number(path)
-    in_range = lambda number: number.between(-limit, limit - 1)
     return (
-        F.when(kind == "BIGINT", in_range(_get(_leaf(path), "bigint")))
-        .when((kind == "DOUBLE") | kind.startswith("DECIMAL"), (value == F.floor(value)) & in_range(value))
-        .otherwise(kind.isin(["-"] * optional + ["VOID"] * nullable) if optional or nullable else F.lit(False))
+        F.when(kind == "BIGINT", _get(_leaf(path), "bigint").between(-limit, limit - 1))
+        .when((kind == "DOUBLE") | kind.startswith("DECIMAL"), _whole(_number(path), bits))
+        .otherwise(kind == "-" if optional else F.lit(False))
     )
 
 
@@ -110,7 +111,7 @@ def _envelope(payload: str) -> list[tuple[str, Column]]:
     return [
         ("missing_payload", F.coalesce(F.col(payload) != "", F.lit(False))),
         ("bad_json", _leaf(_BAD).isNull() | _leaf("version").isNotNull()),
-        ("bad_version", _is_number("version") & F.coalesce(_number("version") == 1, F.lit(False))),
+        ("bad_version", _is_integer("version", 32) & F.coalesce(_number("version") == 1, F.lit(False))),
     ]
 
 
@@ -125,19 +126,18 @@ def _job_checks(payload: str) -> list[tuple[str, Column]]:
         ("bad_tags", _is_text_list(_leaf("tags"))),
         ("bad_job", _leaf("job").isNotNull()),
         ("bad_job_id", _is_text(_leaf("job.id")) & F.coalesce(_text("job.id") != "", F.lit(False))),
-        ("bad_timestamp", _is_number("job.timestamp")),
+        ("bad_timestamp", _leaf("job.timestamp").isNotNull()),
         ("bad_opts", _leaf("job.opts").isNotNull()),
         ("bad_attempts_made", _is_integer("job.attemptsMade", 16, optional=True)),
         ("bad_max_attempts", _is_integer("job.opts.attempts", 16, optional=True)),
-        ("bad_priority", _is_integer("job.opts.priority", 32, optional=True, nullable=True)),
+        ("bad_priority", F.coalesce(_whole(_leaf("job.opts.priority"), 32), F.lit(True))),
         ("bad_delay", _is_integer("job.opts.delay", 32, optional=True)),
         ("bad_parent", _is_text(parent, optional=True, nullable=True)),
         ("bad_name", _is_text(_leaf("job.name"), optional=True, nullable=True)),
         ("bad_repeat_key", _is_text(_leaf("job.repeatJobKey"), optional=True, nullable=True)),
         ("bad_failed_reason", _is_text(_leaf("job.failedReason"), optional=True, nullable=True)),
         ("bad_stacktrace", _is_list(_leaf("job.stacktrace"))),
-        ("bad_processed_on", _is_number("job.processedOn", optional=True, nullable=True)),
-        ("bad_finished_on", _is_number("job.finishedOn", optional=True, nullable=True)),
+        ("bad_number", _leaf(_BAD).isNull()),
         ("duration_overflow", _fits_int("job.processedOn", "job.finishedOn")),
     ]
 
@@ -148,7 +148,7 @@ def _moment(path: str) -> Column:
 
 def _fits_int(start: str, end: str) -> Column:
     """Whether the time between two instants fits an INT of milliseconds."""
-    first, last = F.nullif(_number(start), F.lit(0.0)), F.nullif(_number(end), F.lit(0.0))
+    first, last = F.nullif(_leaf(start), F.lit(0.0)), F.nullif(_leaf(end), F.lit(0.0))
     return F.coalesce((last - first).between(-(2**31), 2**31 - 1), F.lit(True))
 
 
@@ -160,14 +160,14 @@ def _job_fields() -> dict[str, Column]:
         "job_id": _text("job.id"),
         "enqueued_at": created,
         "status": derive_status(
-            _text("state"), _number("job.finishedOn"), _text("job.failedReason"),
+            _text("state"), _leaf("job.finishedOn"), _text("job.failedReason"),
             F.coalesce(_text("phase"), F.lit("snapshot")),
         ),
         "tags": F.coalesce(_get(_leaf("tags"), "array<string>"), F.array().cast("array<string>")),
         "name": _text("job.name"),
         "attempt": number("job.attemptsMade", "smallint", 0),
         "max_attempts": number("job.opts.attempts", "smallint", 1),
-        "priority": _number("job.opts.priority").try_cast("int"),
+        "priority": _leaf("job.opts.priority").try_cast("int"),
         "delay_ms": number("job.opts.delay", "int", 0),
         "backoff": _json("job.opts.backoff"),
         "repeat_job_key": _text("job.repeatJobKey"),
@@ -211,8 +211,8 @@ def parse_log_messages(messages: DataFrame, payload: str = "payload") -> DataFra
         ("bad_worker_id", _is_text(_leaf("workerId"))),
         ("bad_queue_name", _is_text(_leaf("queueName"))),
         ("bad_job_id", _is_text(_leaf("jobId"))),
-        ("bad_job_timestamp", _is_number("jobTimestamp")),
-        ("bad_log_timestamp", _is_number("logTimestamp")),
+        ("bad_job_timestamp", _leaf("jobTimestamp").isNotNull()),
+        ("bad_log_timestamp", _leaf("logTimestamp").isNotNull()),
         ("bad_log_seq", _is_integer("logSeq", 32)),
         ("bad_level", _one_of("level", LOG_LEVELS)),
         ("bad_message", _is_text(_leaf("message"))),

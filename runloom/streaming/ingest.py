@@ -25,6 +25,7 @@ from runloom.operators.upsert import (
     within_retention,
 )
 from runloom.schemas import BUFFER_KEY
+from runloom.session import spread
 from runloom.sources.messages import parse_job_messages, parse_log_messages, rejected_rows, valid_rows
 from runloom.sources.tables import BATCH, write_batch
 
@@ -49,7 +50,7 @@ def ingest_jobs(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_job_messages(batch).persist()
+        parsed = parse_job_messages(spread(batch)).persist()
         try:
             events = valid_rows(parsed)
             if retention is not None:
@@ -94,7 +95,7 @@ def ingest_logs(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_log_messages(batch).persist()
+        parsed = parse_log_messages(spread(batch)).persist()
         events = lines.first_of_each(valid_rows(parsed), BUFFER_KEY, "seq")
         attached = lines.attach_runs(events, runs).persist()
         try:
