@@ -145,6 +145,19 @@ def upsert_changes(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return _merge(touched, incoming, "left").filter(F.col(OP) != "keep")
 
 
+def touched_dates(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Stored runs of the dates a batch falls on.
+
+    A run is stored under the date of its creation, which is part of its key, so
+    no other partition can hold a run of the batch. Spark prunes the others at
+    run time from the (few) dates of the batch; it does so only for a side with a
+    comparison on it, hence the bound, which holds for every epoch time.
+    """
+    dates = incoming.filter(F.col("enqueued_at") >= ts(datetime(1970, 1, 1)))
+    dates = dates.select(F.to_date("enqueued_at").alias("created_date")).distinct()
+    return current.join(dates, "created_date", "left_semi")
+
+
 def change_feed(changes: DataFrame) -> DataFrame:
     """Ids and statuses to announce after an upsert."""
     return changes.filter(F.col(OP) != "keep").select("id", "status")

@@ -14,7 +14,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runloom.functions.time import naive_utc
+from runloom.operators.upsert import OP, touched_dates, upsert_runs
 from runloom.schemas import RUN_KEY, RUN_VALUES
+from runloom.session import shared_dir
 
 BATCH = "batch_id"
 
@@ -34,6 +36,21 @@ def write_runs(runs: DataFrame, path: str) -> None:
     _write(spread.sortWithinPartitions("created_date", "created_at", "job_id"), path, "created_date")
 
 
+def upsert_table(path: str, incoming: DataFrame) -> DataFrame:
+    """Upsert folded runs into a stored table and return what changed.
+
+    Only the dates of the batch are read and rewritten. The new rows are written
+    to a folder of their own first: the table is never read while it is being
+    replaced, and an interrupted replacement can be repeated from that folder.
+    """
+    spark = incoming.sparkSession
+    staged = shared_dir(spark, "upsert")
+    upsert_runs(touched_dates(read_table(spark, path), incoming), incoming).write.parquet(staged)
+    rows = read_table(spark, staged)
+    write_runs(rows.drop(OP), path)
+    return rows.filter(F.col(OP) != "keep")
+
+
 def write_logs(logs: DataFrame, path: str) -> None:
     """Add log lines by date. The caller has removed lines already stored."""
     dated = logs.withColumn("log_date", F.to_date("ts"))
