@@ -15,8 +15,9 @@ def resolve_queue_names(names: DataFrame, queues: DataFrame, column: str = "queu
     """Stored name for each requested one: the exact name, else its brace variant, else NULL."""
     asked = names.select(column).distinct()
     tried = asked.select(column, F.posexplode(queue_name_candidates(F.col(column))).alias("_rank", "name"))
-    found = tried.join(queues.select("name"), "name").groupBy(column).agg(F.min_by("name", "_rank").alias("resolved"))
-    return asked.join(found, column, "left")
+    known = tried.join(queues.select("name", F.lit(True).alias("_known")), "name", "left")
+    rank = F.when(F.col("_known").isNotNull(), F.col("_rank"))
+    return known.groupBy(column).agg(F.min_by("name", rank).alias("resolved"))
 
 
 def _resolved(commands: DataFrame, queues: DataFrame) -> DataFrame:
@@ -56,11 +57,9 @@ def set_paused(commands: DataFrame, queues: DataFrame, paused: bool) -> DataFram
 
 def delete_queues(commands: DataFrame, queues: DataFrame, schedulers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Queues and schedulers that remain; schedulers go with their queue."""
-    gone = resolve_queue_names(commands, queues).filter(F.col("resolved").isNotNull())
-    dead = queues.join(gone.select(F.col("resolved").alias("name")), "name", "left_semi")
-    ids = dead.select("id")
-    kept_schedulers = schedulers.join(ids.withColumnRenamed("id", "queue_id"), "queue_id", "left_anti")
-    return queues.join(ids, "id", "left_anti"), kept_schedulers
+    gone = resolve_queue_names(commands, queues).select(F.col("resolved").alias("name"))
+    ids = queues.join(gone, "name", "left_semi").select(F.col("id").alias("queue_id"))
+    return queues.join(gone, "name", "left_anti").select(*queues.columns), schedulers.join(ids, "queue_id", "left_anti")
 
 
 def replay_rows(jobs: DataFrame) -> DataFrame:

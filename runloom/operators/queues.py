@@ -146,22 +146,24 @@ def queue_names_page(queues: DataFrame, cursor: str | None = None, search: str |
     return Page(forward.filter(F.col("position") <= limit), cursors)
 
 
-def queue_chart(names: DataFrame, rollup: DataFrame, runs: DataFrame, as_of: datetime, days: int) -> DataFrame:
+def queue_chart(names: list[str], rollup: DataFrame, runs: DataFrame, as_of: datetime, days: int) -> DataFrame:
     """Completed and failed runs per step for the queues of a page.
 
     Closed hours come from the rollup, the current hour from the runs; the two
-    are added up, and steps without runs show zero.
+    are added up, and steps without runs show zero. The names are those of one
+    page, so that they reach both scans as a list of values.
     """
+    check_limit(max(len(names), 1))
     window = dashboard_window(as_of, days)
     this_hour = floor_to("hour", as_of)
-    pages = names.select(F.col("name").alias("queue"))
+    on_page = F.col("queue").isin(names)
     hours = rollup.filter((F.col("bucket_start") >= ts(window.start)) & (F.col("bucket_start") < ts(this_hour)))
-    past = hours.join(pages, "queue", "left_semi").select(
+    past = hours.filter(on_page).select(
         "queue", trunc(window.grain, F.col("bucket_start")).alias("_step"),
         F.col("completed_runs").alias("completed"), F.col("failed_runs").alias("failed"),
     )
     fresh = created_between(runs, this_hour, naive_utc(as_of)).filter(F.col("status").isin("completed", "failed"))
-    now = fresh.join(pages, "queue", "left_semi").select(
+    now = fresh.filter(on_page).select(
         "queue", trunc(window.grain, F.col("created_at")).alias("_step"),
         (F.col("status") == "completed").cast("long").alias("completed"),
         (F.col("status") == "failed").cast("long").alias("failed"),
@@ -169,6 +171,7 @@ def queue_chart(names: DataFrame, rollup: DataFrame, runs: DataFrame, as_of: dat
     points = past.unionByName(now).groupBy("queue", "_step").agg(
         F.sum("completed").alias("completed"), F.sum("failed").alias("failed")
     )
+    pages = rollup.sparkSession.createDataFrame([(name,) for name in names], "queue string")
     steps = calendar(pages, window.start, window.end, window.step, "_step")
     return steps.join(points, ["queue", "_step"], "left").select(
         "queue", label(F.col("_step")).alias("timestamp"),
@@ -179,8 +182,7 @@ def queue_chart(names: DataFrame, rollup: DataFrame, runs: DataFrame, as_of: dat
 
 def page_with_stats(page_rows: DataFrame, rollup: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Fill in the pressure of the queues of a page."""
-    hours = rollup.join(page_rows.select(F.col("name").alias("queue")), "queue", "left_semi")
-    weights = pressure_per_queue(hours, start, end).select(F.col("queue").alias("name"), F.col("pressure").alias("_p"))
+    weights = pressure_per_queue(rollup, start, end).select(F.col("queue").alias("name"), F.col("pressure").alias("_p"))
     return page_rows.join(weights, "name", "left").withColumn("pressure", F.coalesce("_p", F.lit(0))).drop("_p")
 
 

@@ -35,10 +35,13 @@ def _comparable(name: str, prefix: str) -> Column:
 def _diff(stored: DataFrame, snapshot: DataFrame, key: str, fields: list[str], may_delete: Column) -> DataFrame:
     """Outer join of both sides by key with the fields that changed.
 
-    Keys are unique on both sides. The result carries the new value of every
-    field (the stored one for rows that go) and ``_op``.
+    Keys are unique on both sides. ``may_delete`` is judged on the stored row.
+    The result carries the new value of every field (the stored one for rows
+    that go) and ``_op``.
     """
-    old = stored.select(key, "id", "created_at", *[F.col(f).alias(f"_o_{f}") for f in fields])
+    old = stored.select(
+        key, "id", "created_at", may_delete.alias("_may_delete"), *[F.col(f).alias(f"_o_{f}") for f in fields]
+    )
     new = snapshot.select(key, *[F.col(f).alias(f"_n_{f}") for f in fields], F.lit(True).alias("_seen"))
     both = old.join(new, key, "full_outer")
     changed = drop_null(F.array(*[
@@ -46,7 +49,7 @@ def _diff(stored: DataFrame, snapshot: DataFrame, key: str, fields: list[str], m
     ]))
     seen, known = F.col("_seen").isNotNull(), F.col("id").isNotNull()
     op = (
-        F.when(~seen, F.when(may_delete, F.lit("delete")).otherwise(F.lit("keep")))
+        F.when(~seen, F.when(F.col("_may_delete"), F.lit("delete")).otherwise(F.lit("keep")))
         .when(~known, F.lit("insert"))
         .when(F.size(changed) > 0, F.lit("update"))
         .otherwise(F.lit("keep"))
@@ -83,11 +86,8 @@ def diff_schedulers(stored: DataFrame, snapshot: DataFrame, queues: DataFrame) -
     """
     ids = queues.select(F.col("id").alias("queue_id"), F.col("name").alias("queue"))
     listed = snapshot.join(ids, "queue").drop("queue")
-    scanned = stored.join(ids.select("queue_id", F.lit(True).alias("_scanned")), "queue_id", "left")
-    flag = scanned.select("key", F.coalesce("_scanned", F.lit(False)).alias("_scanned"))
-    diff = _diff(stored, listed, "key", SCHEDULER_FIELDS, F.lit(True)).join(flag, "key", "left")
-    op = F.when((F.col("_op") == "delete") & ~F.col("_scanned"), F.lit("keep")).otherwise(F.col("_op"))
-    return diff.withColumn("_op", op).drop("_scanned")
+    flagged = stored.join(ids.select("queue_id", F.lit(True).alias("_scanned")), "queue_id", "left")
+    return _diff(flagged, listed, "key", SCHEDULER_FIELDS, F.col("_scanned").isNotNull())
 
 
 def live_runs(live: DataFrame) -> DataFrame:

@@ -93,8 +93,13 @@ def refresh_touched(runs: DataFrame, changed: DataFrame, as_of: datetime) -> Dat
     """Recompute every hour in which a changed run was created.
 
     A bucket computed once goes stale when its runs finish later; this repairs
-    it. ``changed`` needs ``created_at`` only.
+    it. ``changed`` needs ``created_at`` only. Its hours are few, one per hour of
+    the calendar at most, and are sent to every task so that the runs stay where
+    they are; stored runs are read from the dates of those hours only.
     """
-    hours = changed.select(trunc("hour", F.col("created_at")).alias("_hour")).distinct()
-    touched = runs.withColumn("_hour", trunc("hour", F.col("created_at"))).join(hours, "_hour", "left_semi")
+    hour = trunc("hour", F.col("created_at")).alias("_hour")
+    bounded = changed.filter(F.col("created_at") >= ts(datetime(1970, 1, 1)))
+    hours = bounded.select(hour, F.to_date("created_at").alias("created_date")).distinct()
+    on = ["_hour", "created_date"] if "created_date" in runs.columns else ["_hour"]
+    touched = runs.withColumn("_hour", hour).join(F.broadcast(hours.select(*on)), on, "left_semi")
     return hourly_rollup(touched.drop("_hour"), as_of)

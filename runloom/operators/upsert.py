@@ -155,7 +155,8 @@ def touched_dates(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """
     dates = incoming.filter(F.col("enqueued_at") >= ts(datetime(1970, 1, 1)))
     dates = dates.select(F.to_date("enqueued_at").alias("created_date")).distinct()
-    return current.join(dates, "created_date", "left_semi")
+    # One row per date of the calendar at most.
+    return current.join(F.broadcast(dates), "created_date", "left_semi")
 
 
 def change_feed(changes: DataFrame) -> DataFrame:

@@ -276,7 +276,8 @@ def _chart_check(grain: str, days: int) -> str:
 def _chart(spark, sf, days):
     runs = fx.job_runs(spark, sf)
     page = q.queues_page(fx.queues(spark, sf), runs, fx.schedulers(spark, sf)).rows
-    return q.queue_chart(page, _rollup(spark, sf), runs, datetime(2024, 1, 30, 20, 40), days)
+    names = [row.name for row in page.select("name").collect()]
+    return q.queue_chart(names, _rollup(spark, sf), runs, datetime(2024, 1, 30, 20, 40), days)
 
 
 @query(_chart_check("hour", 7))

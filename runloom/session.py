@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,11 +62,11 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     the data outlives any executor. Only a local session may fall back to a
     temporary folder of this machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="runloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    run = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
-    return f"{base.rstrip('/')}/{purpose}-{run}"
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="runloom-"))
+        base = context.getCheckpointDir()
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4()}"

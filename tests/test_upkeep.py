@@ -189,9 +189,8 @@ def test_graph_and_chart_fill_gaps(spark):
     graph = dashboard.run_graph(hours, dashboard_window(as_of, 7)).collect()
     assert len(graph) == 7 * 24 + 1 and sum(x.run_count for x in graph) == 1
     assert dashboard.run_graph(hours, dashboard_window(as_of, 30)).count() == 31
-    names = spark.createDataFrame([("q1",), ("idle",)], "name string")
     now = runs(spark, [run("1", status="completed"), run("2", status="failed", created_at=T0 + 3 * HOUR)])
-    chart = q.queue_chart(names, hours, now, as_of, 1).collect()
+    chart = q.queue_chart(["q1", "idle"], hours, now, as_of, 1).collect()
     assert len(chart) == 50
     assert {(x.queue, x.timestamp): (x.completed, x.failed) for x in chart if x.completed or x.failed} == {
         ("q1", "2024-01-10 12:00:00"): (1, 0), ("q1", "2024-01-10 15:00:00"): (0, 1)}
