@@ -28,12 +28,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def write_runs(runs: DataFrame, path: str) -> None:
     """Write runs by creation date; dates that occur are replaced, others stay.
 
-    Rows are spread by date and job so that a busy day is written by many tasks
-    and a quiet one by few.
+    Rows are rebalanced by date: AQE has a day of any size written by as many
+    tasks as it takes, and quiet days by one together.
     """
-    dated = runs.withColumn("created_date", F.to_date("created_at"))
-    spread = dated.repartition(F.col("created_date"), F.pmod(F.xxhash64("id"), F.lit(16)))
-    _write(spread.sortWithinPartitions("created_date", "created_at", "job_id"), path, "created_date")
+    dated = _by(runs.withColumn("created_date", F.to_date("created_at")), "created_date")
+    _write(dated.sortWithinPartitions("created_date", "created_at", "job_id"), path, "created_date")
 
 
 def upsert_table(path: str, incoming: DataFrame) -> DataFrame:
@@ -53,15 +52,14 @@ def upsert_table(path: str, incoming: DataFrame) -> DataFrame:
 
 def write_logs(logs: DataFrame, path: str) -> None:
     """Add log lines by date. The caller has removed lines already stored."""
-    dated = logs.withColumn("log_date", F.to_date("ts"))
-    spread = dated.repartition(F.col("log_date"), F.pmod(F.xxhash64("id"), F.lit(16)))
-    spread.sortWithinPartitions("log_date", "job_run_id", "ts").write.mode("append").partitionBy("log_date").parquet(path)
+    dated = _by(logs.withColumn("log_date", F.to_date("ts")), "log_date")
+    dated.sortWithinPartitions("log_date", "job_run_id", "ts").write.mode("append").partitionBy("log_date").parquet(path)
 
 
 def write_rollup(rollup: DataFrame, path: str) -> None:
     """Write hourly statistics; hours that occur are replaced as a whole."""
     hourly = rollup.withColumn("bucket_hour", F.date_format("bucket_start", "yyyy-MM-dd-HH"))
-    _write(hourly.repartition("bucket_hour").sortWithinPartitions("bucket_hour", "queue"), path, "bucket_hour")
+    _write(_by(hourly, "bucket_hour").sortWithinPartitions("bucket_hour", "queue"), path, "bucket_hour")
 
 
 def write_rollup_hour(rollup: DataFrame, path: str, bucket: datetime) -> None:
@@ -79,6 +77,10 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path.rstrip('/')}/{BATCH}={batch_id}")
 
 
+def _by(rows: DataFrame, partition: str) -> DataFrame:
+    return rows.hint("rebalance", F.col(partition))
+
+
 def _write(rows: DataFrame, path: str, partition: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
