@@ -13,8 +13,12 @@ DAY = timedelta(days=1)
 
 
 def ts(value: datetime) -> Column:
-    """A literal ``TIMESTAMP_NTZ``; aware datetimes are taken to UTC first."""
-    return F.lit(naive_utc(value)).cast("timestamp_ntz")
+    """A literal ``TIMESTAMP_NTZ``; aware datetimes are taken to UTC first.
+
+    It goes through text because a datetime literal would be read in the time
+    zone of this machine.
+    """
+    return F.lit(naive_utc(value).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def naive_utc(value: datetime) -> datetime:

@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runloom.functions.text import canonical_json, log_id, run_id, uuid_of
-from runloom.functions.time import duration_ms
+from runloom.functions.time import duration_ms, ts
 from runloom.schemas import RUN_VALUES
 from runloom.session import configure, spread
 
@@ -97,7 +97,7 @@ def queues(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("queue").alias("name"),
         F.lit('{"attempts":3}').alias("default_job_options"),
         (number % 4 == 0).alias("is_paused"),
-        F.lit(datetime(2023, 12, 31)).cast("timestamp_ntz").alias("created_at"),
+        ts(datetime(2023, 12, 31)).alias("created_at"),
     )
 
 
@@ -120,7 +120,7 @@ def schedulers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(by_pattern, F.lit("0 3 * * *")).alias("pattern"),
         F.when(~by_pattern, (F.col("_no") * 1000).cast("int")).alias("every"),
         F.lit('{"name":"nightly"}').alias("template"),
-        F.lit(datetime(2023, 12, 31)).cast("timestamp_ntz").alias("created_at"),
+        ts(datetime(2023, 12, 31)).alias("created_at"),
     )
 
 

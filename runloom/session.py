@@ -15,9 +15,6 @@ CONTRACT = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # Recording the call site of every column costs more than the analysis of
-    # these plans, which are made of many small expressions.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -38,8 +35,9 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for key, value in CONTRACT.items():
-        builder = builder.config(key, value)
+    # Static, so only a new session can have it: recording the call site of every
+    # column costs more than the analysis of plans made of many small expressions.
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

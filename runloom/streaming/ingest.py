@@ -9,7 +9,7 @@ into the partitioned runs table from time to time.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -54,7 +54,7 @@ def ingest_jobs(
         try:
             events = valid_rows(parsed)
             if retention is not None:
-                events = within_retention(events, as_of or datetime.now(), retention)
+                events = within_retention(events, as_of or datetime.now(timezone.utc), retention)
             if semantics == "last_in_batch":
                 events = last_in_batch(events.withColumn(BATCH, F.lit(batch_id)), BATCH).drop(BATCH)
             write_batch(fold_states(events), f"{path}/states", batch_id)

@@ -5,7 +5,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from rows import T0, job_message, run, runs
+from rows import T0, job_message
 from runloom.operators import upsert as up
 from runloom.plans import fixture as fx
 from runloom.session import shared_dir

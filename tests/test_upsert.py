@@ -2,7 +2,6 @@ import random
 from datetime import timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from rows import T0, event, events, run, runs
 from runloom.operators import upsert as up
