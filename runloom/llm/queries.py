@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runloom.llm import decontamination, exact_dedup, language, near_dedup, packing, quality, substring_dedup
+from runloom.llm import (
+    decontamination, exact_dedup, language, line_dedup, near_dedup, packing, pii, quality, substring_dedup, url_rules,
+)
 from runloom.llm.stage import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +154,71 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.learn(docs.filter(fold_of("doc_id", 4) != 2))
     found = language.identify(docs, model)
     return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query(r"""
+WITH l AS (
+    SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents
+), w AS (
+    SELECT doc_id, pos, lines[pos : pos + 2] AS body
+    FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS pos FROM l WHERE len(lines) >= 3)
+), n AS (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS n FROM w
+), g AS (
+    SELECT DISTINCT doc_id, unnest(range(pos, pos + 3)) AS pos FROM n WHERE n > 1
+), k AS (
+    SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM l
+), r AS (
+    SELECT k.doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY pos) AS kept FROM k ANTI JOIN g USING (doc_id, pos) GROUP BY k.doc_id
+)
+SELECT l.doc_id, len(lines) AS n_lines, len(lines) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM l LEFT JOIN r USING (doc_id)
+""")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.sanitise(table(spark, sf_dir, "documents"))
+    def count_of(k: int, kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+
+    counts = [count_of(k, kind) for k, kind in enumerate(pii.KINDS)]
+    # Terms come behind the base kinds where two spans start together.
+    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["kind"] - a["kind"])
+    every = F.when(F.size("terms") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", "terms"), order))
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.span_list(F.col("base")), 256).alias("base_sha256"), pii.span_list(every).alias("spans"))
+
+
+# The rules of the contract (host, path, verdict).
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query(r"""
+WITH u AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM u
+), r(rule_host, rule_path, verdict) AS (
+    VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), f AS (
+    SELECT page_id, host, path, rule_host || rule_path AS rule, verdict, length(rule_host || rule_path) AS n
+    FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+), b AS (
+    SELECT page_id, arg_max(rule, n) AS rule, arg_max(verdict, n) AS verdict FROM f GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN b USING (page_id)
+""")
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rules_of(spark, URL_RULES))
