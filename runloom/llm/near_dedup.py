@@ -92,7 +92,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=["doc_id", "n", "set_id", "bands", "sketch"])
 
 
-def most_differing(percent: int, z: float = 6.0) -> int:
+def most_differing(percent: int, z: float = 4.5) -> int:
     """The XOR count that a pair at the threshold exceeds with negligible chance.
 
     With d of k samples differing, 2d toggles fall into m bits. Their number
@@ -135,10 +135,14 @@ def _confirm(percent: int):
     return confirmed
 
 
-def _pairs(members: DataFrame, centres: int | None, percent: int) -> DataFrame:
-    """Pairs to compare: in every bucket of several components, centres with members of others."""
+def _pairs(members: DataFrame, sketches: DataFrame, centres: int | None, percent: int) -> DataFrame:
+    """Pairs to confirm: in every bucket of several components, centres with members of others.
+
+    Sizes and sketches are judged inside the join, so that pairs which cannot be
+    linked never become rows.
+    """
     of_bucket = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ones = of_bucket.filter("low < high").select("bucket")
+    open_ones = staged(of_bucket.filter("low < high").select("bucket"), "open")
     members = members.join(open_ones, "bucket", "left_semi")
     if centres is None:
         chosen = members
@@ -146,11 +150,17 @@ def _pairs(members: DataFrame, centres: int | None, percent: int) -> DataFrame:
         slot = F.pmod(F.xxhash64("doc_id", "bucket"), F.lit(centres))
         chosen = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("doc_id", "n", "component")).alias("c"))
         chosen = chosen.select("bucket", "c.*")
-    chosen = staged(chosen.select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("doc_id", "n", "component")]), "centres")
+    members = members.join(sketches, "doc_id")
+    chosen = staged(chosen.join(sketches, "doc_id").select(
+        "bucket", *[F.col(c).alias(f"c_{c}") for c in ("doc_id", "n", "component", "sketch")]), "centres")
     near = 100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")
-    pairs = members.join(chosen, "bucket").filter((F.col("component") != F.col("c_component")) & near)
+    differing = sum(
+        (F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("c_sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    fit = (F.col("component") != F.col("c_component")) & near & (differing <= most_differing(percent))
     if centres is None:
-        pairs = pairs.filter("c_doc_id < doc_id")
+        fit = fit & (F.col("c_doc_id") < F.col("doc_id"))
+    chosen = chosen.withColumnRenamed("bucket", "c_bucket")
+    pairs = members.join(chosen, (F.col("bucket") == F.col("c_bucket")) & fit)
     ends = F.least("doc_id", "c_doc_id").alias("a"), F.greatest("doc_id", "c_doc_id").alias("b")
     return pairs.select(*ends).distinct()
 
@@ -183,19 +193,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     sketches = staged(reps.join(wanted, "doc_id", "left_semi").select("doc_id", "sketch"), "sketches")
     discard(wanted, reps)
 
-    limit = most_differing(percent)
-    differing = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH // 64)), F.lit(0))
     labels, links = None, None
     for centres in ROUNDS:
         labelled = members.withColumn("component", F.col("doc_id")) if labels is None else members.join(
             labels.withColumnRenamed("vertex", "doc_id"), "doc_id", "left"
         ).withColumn("component", F.coalesce("component", "doc_id"))
-        likely = staged(_pairs(labelled, centres, percent), "pairs", free=True)
-        if likely.isEmpty():
-            break
-        for end in ("a", "b"):
-            likely = likely.join(sketches.select(F.col("doc_id").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
-        likely = staged(likely.filter(differing <= limit).select("a", "b"), "likely")
+        likely = staged(_pairs(labelled, sketches, centres, percent), "pairs", free=True)
         if likely.isEmpty():
             continue
         both = likely
