@@ -106,16 +106,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = documents(docs, id_col, text_col)
     anchors = docs.mapInArrow(_anchors, "h long, doc_id long, at int")
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    shared = staged(shared.select("h"), "anchors", free=True)
-    places = anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+    shared = staged(shared.select("h", "low"), "anchors", free=True)
+    # All anchors that two documents have, and those of them that a smaller document has too.
+    places = anchors.join(shared, "h").groupBy("doc_id").agg(
+        F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("doc_id") > F.col("low"), F.col("at"))).alias("later"))
     places = staged(places, "places", free=True)
-    windows = docs.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(_extend, "w1 long, w2 long, doc_id long, at int")
-    windows = staged(windows, "windows", free=True)
+    # Windows are hashed twice from these texts rather than stored: they take several times the space.
+    texts = staged(docs.join(places, "doc_id").select("doc_id", "text", "at", "later"), "matched", free=True)
     discard(shared, places)
-    owners = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    kinds = "w1 long, w2 long, doc_id long, at int"
+    every = texts.select("doc_id", "text", "at").mapInArrow(_extend, kinds)
+    owners = every.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     owners = staged(owners.select("w1", "w2", "low"), "owners", free=True)
+    windows = texts.filter(F.size("later") > 0).select("doc_id", "text", "later").mapInArrow(_extend, kinds)
     later = windows.join(owners, ["w1", "w2"]).filter("doc_id > low").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
     later = staged(later, "later", free=True)
-    discard(windows, owners)
+    discard(texts, owners)
     kinds = "doc_id long, n_words long, n_removed long, kept_text string"
     return docs.join(later, "doc_id", "left").select("doc_id", "text", "at").mapInArrow(_cut, kinds)
