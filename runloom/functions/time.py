@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
@@ -10,6 +9,8 @@ from pyspark.sql import Column, functions as F
 
 HOUR = timedelta(hours=1)
 DAY = timedelta(days=1)
+# Epoch milliseconds beyond this, before or after 1970, are no instant.
+LAST_MS = 8_640_000_000_000_000
 
 
 def ts(value: datetime) -> Column:
@@ -31,6 +32,23 @@ def from_epoch_ms(column: Column) -> Column:
     return F.timestamp_millis(column).cast("timestamp_ntz")
 
 
+def is_instant(milliseconds: Column) -> Column:
+    return milliseconds.between(-LAST_MS, LAST_MS)
+
+
+def from_any_epoch_ms(milliseconds: Column) -> Column:
+    """The instant of a number from outside; NULL where it is none."""
+    return from_epoch_ms(F.when(is_instant(milliseconds), milliseconds).try_cast("long"))
+
+
+def is_stored_instant(column: Column) -> Column:
+    """A comparison that holds for every instant.
+
+    Spark prunes partitions at run time only by a side with a comparison on it.
+    """
+    return column >= from_epoch_ms(F.lit(-LAST_MS))
+
+
 def to_epoch_ms(column: Column) -> Column:
     return F.unix_millis(column.cast("timestamp"))
 
@@ -52,12 +70,6 @@ def duration_ms() -> Column:
     return millis_between(F.col("started_at"), F.col("finished_at")).try_cast("int")
 
 
-def duration_overflows() -> Column:
-    """Rows whose run time exceeds an INT of milliseconds (24.8 days)."""
-    span = millis_between(F.col("started_at"), F.col("finished_at"))
-    return F.coalesce(span.isNotNull() & span.try_cast("int").isNull(), F.lit(False))
-
-
 def wait_ms() -> Column:
     """Time a run spent queued: its wait pressure."""
     return millis_between(F.col("enqueued_at"), F.col("started_at"))
@@ -104,34 +116,41 @@ def pressure_bounds(as_of: datetime, days: int) -> tuple[datetime, datetime]:
     return floor_to("hour", end - days * DAY), floor_to("hour", end)
 
 
-_ZONE = re.compile(r"(?:Z|[+-]\d{2}:?\d{2})$", re.IGNORECASE)
-_TO_THE_MINUTE = re.compile(r"T\d{2}:\d{2}$")
+def _clock(text: str) -> str:
+    """The time part of ISO text, without its zone; empty for a bare date."""
+    clock = text.upper().partition("T")[2].rstrip("Z")
+    return clock.partition("+")[0].partition("-")[0]
 
 
 def created_boundary(value: str, upper: bool = False) -> datetime:
     """Read one end of a created-at range given as text.
 
     A bare date means its first or last millisecond, text without a zone is UTC,
-    and an upper end given to the minute includes that whole minute.
+    and an upper end given to the minute, without a zone, includes that whole
+    minute.
     """
-    text = value if "T" in value else f"{value}T{'23:59:59.999' if upper else '00:00'}"
-    moment = datetime.fromisoformat(text if _ZONE.search(text) else f"{text}Z")
-    if upper and _TO_THE_MINUTE.search(value):
-        moment = moment.replace(second=59, microsecond=999_000)
+    moment = datetime.fromisoformat(value)
+    clock = _clock(value)
+    if upper and not clock:
+        moment += DAY - timedelta(milliseconds=1)
+    elif upper and moment.tzinfo is None and clock.count(":") == 1:
+        moment += timedelta(seconds=59, milliseconds=999)
     return naive_utc(moment)
 
 
 def created_boundary_column(value: Column, upper: bool = False) -> Column:
     """The same reading for a column of texts; unreadable text gives NULL."""
-    fallback = "T23:59:59.999" if upper else "T00:00"
-    text = F.when(value.contains("T"), value).otherwise(F.concat(value, F.lit(fallback)))
-    zoned = text.rlike(r"(?i)(Z|[+-]\d{2}:?\d{2})$")
-    # Spark reads +hh:mm but not +hhmm.
-    spelled = F.when(zoned, F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")).otherwise(text)
-    # A time to the minute is not enough for the cast either.
-    spelled = F.regexp_replace(spelled, r"T(\d{2}:\d{2})($|Z|z|[+-])", "T$1:00$2")
-    moment = F.when(zoned, spelled).otherwise(F.concat(spelled, F.lit("Z"))).try_cast("timestamp").cast("timestamp_ntz")
+    clock = F.substring_index(value, "T", -1)
+    dated = ~value.contains("T")
+    zoned = ~dated & (clock.contains("+") | clock.contains("-") | F.upper(clock).endswith("Z"))
+    # Spark's cast wants seconds and a colon in the offset, the standard library neither.
+    hands = F.when(zoned, F.regexp_extract(clock, "^[0-9:.]+", 0)).otherwise(clock)
+    to_minute = F.length(hands) == 5
+    offset = F.regexp_replace(F.substring(clock, F.length(hands) + 1, F.lit(6)), "^([+-]..)(..)$", "$1:$2")
+    whole = F.concat(F.substring_index(value, "T", 1), F.lit("T"), hands, F.when(to_minute, ":00").otherwise(""),
+                     F.when(zoned, offset).otherwise("Z"))
+    moment = F.when(dated, F.concat(value, F.lit("T00:00:00Z"))).otherwise(whole).try_cast("timestamp").cast("timestamp_ntz")
     if not upper:
         return moment
-    whole_minute = F.timestamp_add("MILLISECOND", F.lit(59_999), moment)
-    return F.when(value.rlike(r"T\d{2}:\d{2}$"), whole_minute).otherwise(moment)
+    more = F.when(dated, F.lit(86_399_999)).when(~zoned & to_minute, F.lit(59_999)).otherwise(F.lit(0))
+    return F.timestamp_add("MILLISECOND", more, moment)

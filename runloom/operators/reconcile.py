@@ -106,18 +106,25 @@ def reconcile_live(runs: DataFrame, live: DataFrame) -> DataFrame:
     return upsert_changes(runs, live_runs(live))
 
 
-def reconcile_missing(runs: DataFrame, live: DataFrame) -> DataFrame:
-    """Unfinished runs that no live job stands for: their status is not known.
+def _of_scanned(runs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Runs of the queues (column ``name``) whose jobs were read; a failed read says nothing about the others."""
+    return runs.join(scanned.select(F.col("name").alias("queue")), "queue", "left_semi")
+
+
+def reconcile_missing(runs: DataFrame, live: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Unfinished runs of ``scanned`` queues that no live job stands for: their status is not known.
 
     All of them are handled in one pass.
     """
+    runs = _of_scanned(runs, scanned)
     known = live.select("queue", "job_id").distinct()
     lost = runs.filter(is_open(F.col("status"))).join(known, ["queue", "job_id"], "left_anti")
     return lost.select("id", "queue", "job_id", F.col("status").alias("old_status"), F.lit("unknown").alias("status"))
 
 
-def stalled(runs: DataFrame, live: DataFrame, as_of: datetime) -> DataFrame:
-    """Runs active or waiting for a day: failed when gone, re-read when their state moved on."""
+def stalled(runs: DataFrame, live: DataFrame, as_of: datetime, scanned: DataFrame) -> DataFrame:
+    """Runs of ``scanned`` queues active or waiting for a day: failed when gone, re-read when their state moved on."""
+    runs = _of_scanned(runs, scanned)
     cut = naive_utc(as_of) - STALLED_AFTER
     old = runs.filter(F.col("status").isin("active", "waiting") & (F.col("created_at") <= ts(cut)))
     if "created_date" in runs.columns:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runloom.functions.status import is_terminal
-from runloom.functions.time import DAY, HOUR, duration_ms, floor_to, naive_utc, trunc, ts, wait_ms
+from runloom.functions.time import DAY, HOUR, duration_ms, floor_to, is_stored_instant, naive_utc, trunc, ts, wait_ms
 from runloom.operators.pruning import created_between
 
 PRESSURE_COLUMNS = ["pressure_total_ms", "pressure_count", "updated_at"]
@@ -98,7 +98,7 @@ def refresh_touched(runs: DataFrame, changed: DataFrame, as_of: datetime) -> Dat
     they are; stored runs are read from the dates of those hours only.
     """
     hour = trunc("hour", F.col("created_at")).alias("_hour")
-    bounded = changed.filter(F.col("created_at") >= ts(datetime(1970, 1, 1)))
+    bounded = changed.filter(is_stored_instant(F.col("created_at")))
     hours = bounded.select(hour, F.to_date("created_at").alias("created_date")).distinct()
     on = ["_hour", "created_date"] if "created_date" in runs.columns else ["_hour"]
     touched = runs.withColumn("_hour", hour).join(F.broadcast(hours.select(*on)), on, "left_semi")

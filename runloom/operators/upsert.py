@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runloom.functions.status import is_terminal
 from runloom.functions.text import run_id
-from runloom.functions.time import duration_ms, naive_utc, ts
+from runloom.functions.time import duration_ms, is_stored_instant, naive_utc, ts
 from runloom.schemas import RUN_KEY, RUN_VALUES
 
 OP = "_op"
@@ -150,10 +150,9 @@ def touched_dates(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
     A run is stored under the date of its creation, which is part of its key, so
     no other partition can hold a run of the batch. Spark prunes the others at
-    run time from the (few) dates of the batch; it does so only for a side with a
-    comparison on it, hence the bound, which holds for every epoch time.
+    run time from the (few) dates of the batch.
     """
-    dates = incoming.filter(F.col("enqueued_at") >= ts(datetime(1970, 1, 1)))
+    dates = incoming.filter(is_stored_instant(F.col("enqueued_at")))
     dates = dates.select(F.to_date("enqueued_at").alias("created_date")).distinct()
     # One row per date of the calendar at most.
     return current.join(F.broadcast(dates), "created_date", "left_semi")

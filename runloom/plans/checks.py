@@ -90,16 +90,17 @@ _SCHEDULERS = f"""
 # Messages are not parsed here: their content follows from the job, so the
 # check is independent of any JSON reading.
 _MESSAGES = """
-  SELECT *, seq >> 28 AS batch_id,
+  SELECT *, seq >> 58 AS batch_id,
     CASE bad WHEN 1 THEN 'bad_json' WHEN 2 THEN 'bad_version' WHEN 3 THEN 'bad_queue_name' WHEN 4 THEN 'bad_job_id'
-      WHEN 5 THEN 'bad_tags' WHEN 6 THEN 'bad_state' WHEN 7 THEN 'missing_payload' END AS reject_reason,
+      WHEN 5 THEN 'bad_tags' WHEN 6 THEN 'bad_state' WHEN 7 THEN 'missing_payload'
+      WHEN 8 THEN 'bad_timestamp' WHEN 9 THEN 'bad_processed_on' WHEN 10 THEN 'bad_finished_on' END AS reject_reason,
     CASE no WHEN 0 THEN 'waiting' WHEN 1 THEN 'active' ELSE status END AS event_status,
     CASE WHEN no = 0 THEN CAST([] AS VARCHAR[]) ELSE tags END AS event_tags,
     CASE WHEN no > 0 THEN created_at + to_milliseconds(wait) END AS event_started,
     CASE WHEN no = 2 THEN created_at + to_milliseconds(ends) END AS event_finished,
     CASE WHEN no = 2 THEN error_message END AS event_error,
     CASE WHEN no = 2 THEN result END AS event_result
-  FROM (SELECT *, event_id % 97 AS bad, ((event_id * 8 + no * 2 + copy) * 2654435761) % 4294967296 AS seq
+  FROM (SELECT *, event_id % 97 AS bad, ((event_id * 8 + no * 2 + copy) % 65536) * 40503 % 65536 * 70368744177664 + (event_id * 8 + no * 2 + copy) // 65536 AS seq
         FROM (SELECT *, unnest(CASE WHEN event_id % 10 = 3 THEN [0, 1] ELSE [0] END) AS copy
               FROM (SELECT *, unnest([0, 1, 2]) AS no FROM jobs)
               WHERE no = 0 OR (no = 1 AND wait IS NOT NULL) OR (no = 2 AND ends IS NOT NULL)))
@@ -114,10 +115,11 @@ _LOG_MESSAGES = """
     CASE WHEN no = 0 THEN 'Processing job ' || job_id
       WHEN event_type = 'error' THEN 'Job ' || job_id || ' failed intentionally'
       ELSE 'Job ' || job_id || ' processed' END AS message,
-    worker_id, event_id, bad, seq, seq >> 28 AS batch_id, created_ms, job_id AS jid,
+    worker_id, event_id, bad, seq, seq >> 58 AS batch_id, created_ms, job_id AS jid,
     CASE bad WHEN 1 THEN 'bad_json' WHEN 2 THEN 'bad_version' WHEN 3 THEN 'bad_queue_name'
-      WHEN 6 THEN 'bad_level' WHEN 7 THEN 'missing_payload' END AS reject_reason
-  FROM (SELECT *, event_id % 97 AS bad, ((event_id * 8 + no * 2 + copy) * 2654435761) % 4294967296 AS seq
+      WHEN 6 THEN 'bad_level' WHEN 7 THEN 'missing_payload'
+      WHEN 8 THEN 'bad_job_timestamp' WHEN 9 THEN 'bad_log_timestamp' END AS reject_reason
+  FROM (SELECT *, event_id % 97 AS bad, ((event_id * 8 + no * 2 + copy) % 65536) * 40503 % 65536 * 70368744177664 + (event_id * 8 + no * 2 + copy) // 65536 AS seq
         FROM (SELECT *, unnest(CASE WHEN event_id % 10 = 3 THEN [0, 1] ELSE [0] END) AS copy
               FROM (SELECT *, unnest([0, 1]) AS no FROM jobs WHERE wait IS NOT NULL)
               WHERE no = 0 OR ends IS NOT NULL))

@@ -140,7 +140,7 @@ _PAYLOAD = """
           when user_id % 7 = 0 then ',"tags":[]'
           else ',"tags":["' || event_type || '","seg' || cast(user_id % 5 as string) || '"]' end
   || ',"job":{' || case when bad = 4 then '' else '"id":"' || job_id || '",' end
-  || '"name":"' || name || '","timestamp":' || cast(_created_ms as string)
+  || '"name":"' || name || '","timestamp":' || case when bad = 8 then '1e30' else cast(_created_ms as string) end
   || ',"attemptsMade":' || cast(attempt as string)
   || ',"opts":{"attempts":3,"delay":' || cast(delay_ms as string)
   || case when priority is null then '' else ',"priority":' || cast(priority as string) end
@@ -148,8 +148,10 @@ _PAYLOAD = """
   || case when parent_job_id is null then '' else ',"parent":{"id":"' || parent_job_id || '"}' end || '}'
   || case when repeat_job_key is null then '' else ',"repeatJobKey":"' || repeat_job_key || '"' end
   || ',"data":' || data
-  || case when phase = 'waiting' then '' else ',"processedOn":' || cast(_created_ms + _wait as string) end
-  || case when phase = 'terminal' then ',"finishedOn":' || cast(_created_ms + _end as string) else '' end
+  || case when bad = 9 then ',"processedOn":1e17' when phase = 'waiting' then ''
+          else ',"processedOn":' || cast(_created_ms + _wait as string) end
+  || case when bad = 10 then ',"finishedOn":9000000000000000' when phase = 'terminal'
+          then ',"finishedOn":' || cast(_created_ms + _end as string) else '' end
   || case when phase = 'terminal' and event_type = 'error'
           then ',"failedReason":"' || error_message || '","stacktrace":["' || error_message || '","    at work"]' else '' end
   || case when phase = 'terminal' and result is not null then ',"returnvalue":' || result else '' end
@@ -158,6 +160,16 @@ _PAYLOAD = """
 """
 
 
+# The lower 16 bits of a message's number, permuted, go in front of the others: unique for
+# all event numbers below 2^59, without overflow.
+_SEQ = "(number % 65536) * 40503 % 65536 * 70368744177664 + number div 65536"
+
+
+def _arriving(copies: DataFrame, payload: str) -> DataFrame:
+    rows = copies.selectExpr("event_id * 8 + no * 2 + copy as number", f"{payload} as payload")
+    return rows.selectExpr(f"{_SEQ} as seq", "payload").selectExpr("seq", "shiftright(seq, 58) as batch_id", "payload")
+
+
 def messages_of(base: DataFrame) -> DataFrame:
     """Job messages: one per phase a job reached, shuffled, some twice, some broken.
 
@@ -171,14 +183,11 @@ def messages_of(base: DataFrame) -> DataFrame:
         " as (no, phase, reached)",
     ).filter("reached")
     copies = phases.selectExpr("*", f"explode({_COPIES}) as copy")
-    seq = "((event_id * 8 + no * 2 + copy) * 2654435761) % 4294967296"
-    return copies.selectExpr(f"{seq} as seq", f"{_PAYLOAD} as payload").selectExpr(
-        "seq", "shiftright(seq, 28) as batch_id", "payload"
-    )
+    return _arriving(copies, _PAYLOAD)
 
 
 def job_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages_of(jobs_of(spread(_events(spark, sf_dir))))
+    return messages_of(jobs_of(spread(_events(spark, sf_dir), spark.sparkContext.defaultParallelism)))
 
 
 _LOG_PAYLOAD = """
@@ -186,8 +195,8 @@ _LOG_PAYLOAD = """
   '{"version":' || case when bad = 2 then '2' else '1' end
   || ',"workerId":"' || worker_id || '"'
   || case when bad = 3 then '' else ',"queueName":"' || queue || '"' end
-  || ',"jobId":"' || log_job_id || '","jobTimestamp":' || cast(_created_ms as string)
-  || ',"logTimestamp":' || cast(log_ms as string) || ',"logSeq":' || cast(log_seq as string)
+  || ',"jobId":"' || log_job_id || '","jobTimestamp":' || case when bad = 8 then '-1e30' else cast(_created_ms as string) end
+  || ',"logTimestamp":' || case when bad = 9 then '1e17' else cast(log_ms as string) end || ',"logSeq":' || cast(log_seq as string)
   || ',"level":"' || case when bad = 6 then 'fatal' else level end || '","message":"' || message || '"'
   || case when bad = 1 then '' else '}' end
   end
@@ -211,14 +220,11 @@ def log_messages_of(base: DataFrame) -> DataFrame:
     copies = lines.selectExpr(
         "*", "case when no = 1 and _end = _wait then 1 else 0 end as log_seq", f"explode({_COPIES}) as copy"
     )
-    seq = "((event_id * 8 + no * 2 + copy) * 2654435761) % 4294967296"
-    return copies.selectExpr(f"{seq} as seq", f"{_LOG_PAYLOAD} as payload").selectExpr(
-        "seq", "shiftright(seq, 28) as batch_id", "payload"
-    )
+    return _arriving(copies, _LOG_PAYLOAD)
 
 
 def log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_messages_of(jobs_of(spread(_events(spark, sf_dir))))
+    return log_messages_of(jobs_of(spread(_events(spark, sf_dir), spark.sparkContext.defaultParallelism)))
 
 
 def job_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from runloom.operators import logs as lg, upsert as up
 from runloom.plans import fixture as fx
 from runloom.plans.checks import AS_OF, check, uuid_sql
 from runloom.plans.registry import query
+from runloom.session import shared_dir
+from runloom.sources import tables
 from runloom.sources.messages import parse_job_messages, parse_log_messages, rejected_rows, valid_rows, with_tags
 
 _VALID = "SELECT * FROM messages WHERE reject_reason IS NULL"
@@ -36,12 +38,12 @@ def parse_job_events(spark, sf):
 
 
 @query(check("""
-  SELECT reject_reason, COUNT(*) AS rejected, CAST(SUM(seq) AS BIGINT) AS seq_sum, COUNT(DISTINCT batch_id) AS batches
+  SELECT reject_reason, COUNT(*) AS rejected, CAST(SUM(seq % 1000003) AS BIGINT) AS seq_sum, COUNT(DISTINCT batch_id) AS batches
   FROM messages WHERE reject_reason IS NOT NULL GROUP BY 1"""))
 def job_event_rejects(spark, sf):
     rejects = rejected_rows(parse_job_messages(fx.job_messages(spark, sf)))
     return rejects.groupBy("reject_reason").agg(
-        F.count(F.lit(1)).alias("rejected"), F.sum("seq").alias("seq_sum"), F.count_distinct("batch_id").alias("batches")
+        F.count(F.lit(1)).alias("rejected"), F.sum(F.col("seq") % 1000003).alias("seq_sum"), F.count_distinct("batch_id").alias("batches")
     )
 
 
@@ -176,6 +178,15 @@ def upsert_job_runs(spark, sf):
     return _flat(after.select(*_FOLD_COLUMNS, F.col(up.OP).alias("op")))
 
 
+@query(FOLD_CHECK)
+def upsert_stored_table(spark, sf):
+    """Both halves upserted into a stored table, the first of which creates it."""
+    path = shared_dir(spark, "runs")
+    for half in _two_halves(spark, sf):
+        tables.upsert_table(path, half)
+    return folded_columns(tables.read_table(spark, path))
+
+
 @query(check(f"SELECT {_ID} AS id, status, op FROM after WHERE op <> 'keep'", **_UPSERT))
 def upsert_changed_rows(spark, sf):
     changes = up.upsert_changes(*_two_halves(spark, sf))

@@ -10,8 +10,8 @@ from runloom.plans.ingestion import BUFFERED_CHECK, FOLD_CHECK, RESOLVED_CHECK,
 from runloom.plans.registry import query
 from runloom.session import configure, shared_dir
 from runloom.sources.messages import parse_log_messages, valid_rows
-from runloom.sources.streams import table_stream
-from runloom.sources.tables import write_batch
+from runloom.sources.streams import file_messages, table_stream
+from runloom.sources.tables import read_table, write_batch
 from runloom.streaming import ingest, windows
 
 
@@ -24,14 +24,44 @@ def _jobs(spark: SparkSession, sf: str) -> DataFrame:
 def stream_fold(spark, sf):
     messages = fx.messages_of(_jobs(spark, sf)).drop("batch_id")
     path = shared_dir(spark, "fold")
-    ingest.ingest_jobs(messages, path, f"{path}/checkpoint").awaitTermination()
+    ingest.ingest_jobs(messages, path, f"{path}/checkpoint", fx.AS_OF).awaitTermination()
     return folded_columns(ingest.current_runs(spark, path))
 
 
+def _in_four_files(messages: DataFrame, path: str) -> None:
+    """Messages in their order of arrival, a file for each quarter."""
+    for k in range(4):
+        quarter = messages.filter(F.floor(F.col("batch_id") / 4) == k).select("seq", "payload")
+        quarter.coalesce(1).write.mode("append").parquet(path)
+
+
+@query(FOLD_CHECK)
+def stream_fold_batches(spark, sf):
+    """Micro-batches merged one by one into the stored runs table."""
+    path = shared_dir(spark, "fold")
+    _in_four_files(fx.job_messages(spark, sf), f"{path}/in")
+    messages = file_messages(spark, f"{path}/in", format="parquet", max_files=1)
+    ingest.ingest_jobs(messages, path, f"{path}/checkpoint", fx.AS_OF, table=f"{path}/runs").awaitTermination()
+    return folded_columns(read_table(spark, f"{path}/runs"))
+
+
+@query(RESOLVED_CHECK)
+def stream_buffer_drained(spark, sf):
+    """Lines that came before their runs, moved to the logs by a drain afterwards."""
+    path = shared_dir(spark, "logs")
+    _in_four_files(fx.log_messages(spark, sf), f"{path}/in")
+    messages = file_messages(spark, f"{path}/in", format="parquet", max_files=1)
+    runs = fx.job_runs(spark, sf)
+    early = runs.filter(F.crc32("job_id") % 2 == 0)
+    ingest.ingest_logs(messages, lambda: early, path, f"{path}/checkpoint", fx.AS_OF).awaitTermination()
+    ingest.drain_buffer(spark, path, runs, 1_000_000)
+    return ingest.current_logs(spark, path)
+
+
 def _ingested_logs(spark, sf) -> str:
     messages = fx.log_messages_of(_jobs(spark, sf)).drop("batch_id")
     path = shared_dir(spark, "logs")
-    ingest.ingest_logs(messages, fx.job_runs(spark, sf), path, f"{path}/checkpoint", fx.AS_OF).awaitTermination()
+    ingest.ingest_logs(messages, lambda: fx.job_runs(spark, sf), path, f"{path}/checkpoint", fx.AS_OF).awaitTermination()
     return path
 
 

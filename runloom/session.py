@@ -43,14 +43,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that is too small to be split.
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal an input over so many tasks, or leave it as its source splits it.
 
-    For inputs whose work is computation, such as parsing. An input that has
-    splits enough is left as it is.
+    For callers who know that the work on few bytes is much, such as parsing.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    return df if partitions is None else df.repartition(partitions)
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runloom.functions.status import derive_status
 from runloom.functions.text import join_lines
-from runloom.functions.time import from_epoch_ms
+from runloom.functions.time import from_any_epoch_ms, is_instant
 from runloom.schemas import EVENT_PHASES, JOB_STATUSES, LOG_LEVELS, RUN_KEY, RUN_VALUES
 
 REJECT = "reject_reason"
@@ -62,8 +62,13 @@ def _number(path: str) -> Column:
     return _get(_leaf(path), "double")
 
 
-def _millis(path: str) -> Column:
-    return _leaf(path).cast("long")
+def _instant(path: str) -> Column:
+    return from_any_epoch_ms(_leaf(path))
+
+
+def _is_instant(path: str, optional: bool = False) -> Column:
+    """Whether a number of milliseconds is an instant; numbers of any size may arrive."""
+    return F.coalesce(is_instant(_leaf(path)), F.lit(True) if optional else F.lit(False))
 
 
 def _json(path: str) -> Column:
@@ -126,7 +131,9 @@ def _job_checks(payload: str) -> list[tuple[str, Column]]:
         ("bad_tags", _is_text_list(_leaf("tags"))),
         ("bad_job", _leaf("job").isNotNull()),
         ("bad_job_id", _is_text(_leaf("job.id")) & F.coalesce(_text("job.id") != "", F.lit(False))),
-        ("bad_timestamp", _leaf("job.timestamp").isNotNull()),
+        ("bad_timestamp", _is_instant("job.timestamp")),
+        ("bad_processed_on", _is_instant("job.processedOn", optional=True)),
+        ("bad_finished_on", _is_instant("job.finishedOn", optional=True)),
         ("bad_opts", _leaf("job.opts").isNotNull()),
         ("bad_attempts_made", _is_integer("job.attemptsMade", 16, optional=True)),
         ("bad_max_attempts", _is_integer("job.opts.attempts", 16, optional=True)),
@@ -143,7 +150,7 @@ def _job_checks(payload: str) -> list[tuple[str, Column]]:
 
 
 def _moment(path: str) -> Column:
-    return from_epoch_ms(F.nullif(_millis(path), F.lit(0)))
+    return from_any_epoch_ms(F.nullif(_leaf(path), F.lit(0.0)))
 
 
 def _fits_int(start: str, end: str) -> Column:
@@ -153,7 +160,7 @@ def _fits_int(start: str, end: str) -> Column:
 
 
 def _job_fields() -> dict[str, Column]:
-    created = from_epoch_ms(_millis("job.timestamp"))
+    created = _instant("job.timestamp")
     number = lambda path, kind, default: F.coalesce(_number(path).try_cast(kind), F.lit(default).cast(kind))
     return {
         "queue": _text("queueName"),
@@ -211,8 +218,8 @@ def parse_log_messages(messages: DataFrame, payload: str = "payload") -> DataFra
         ("bad_worker_id", _is_text(_leaf("workerId"))),
         ("bad_queue_name", _is_text(_leaf("queueName"))),
         ("bad_job_id", _is_text(_leaf("jobId"))),
-        ("bad_job_timestamp", _leaf("jobTimestamp").isNotNull()),
-        ("bad_log_timestamp", _leaf("logTimestamp").isNotNull()),
+        ("bad_job_timestamp", _is_instant("jobTimestamp")),
+        ("bad_log_timestamp", _is_instant("logTimestamp")),
         ("bad_log_seq", _is_integer("logSeq", 32)),
         ("bad_level", _one_of("level", LOG_LEVELS)),
         ("bad_message", _is_text(_leaf("message"))),
@@ -220,8 +227,8 @@ def parse_log_messages(messages: DataFrame, payload: str = "payload") -> DataFra
     fields = {
         "queue": _text("queueName"),
         "job_id": _text("jobId"),
-        "job_timestamp": from_epoch_ms(_millis("jobTimestamp")),
-        "log_timestamp": from_epoch_ms(_millis("logTimestamp")),
+        "job_timestamp": _instant("jobTimestamp"),
+        "log_timestamp": _instant("logTimestamp"),
         "log_seq": _number("logSeq").try_cast("int"),
         "level": _text("level"),
         "message": _text("message"),

@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-# Messages taken per trigger unless the caller sets others.
-JOB_BATCH_SIZE = 300
-LOG_BATCH_SIZE = 500
-
 MESSAGE = T.StructType([T.StructField("seq", T.LongType()), T.StructField("payload", T.StringType())])
 
 
@@ -17,7 +13,8 @@ def kafka_messages(
     """Messages of a topic. Needs the Kafka connector on the class path.
 
     Offsets live in the checkpoint: what was not committed is read again. The
-    order of a key's messages is that of its partition, so producers key by job.
+    order of a key's messages is that of its partition, so producers key by job
+    and the topic keeps its number of partitions.
     """
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
     if max_per_trigger is not None:

@@ -1,10 +1,8 @@
 """Stored tables: reading, partitioned writing and replay-safe appends.
 
 Tables are Parquet folders. Runs are partitioned by ``created_date``, logs by
-``log_date`` and hourly statistics by ``bucket_hour``; within a file rows are
-sorted so that row-group statistics cut keyset and time predicates. Where the
-caller has a table format with row-level changes, :func:`merge_runs_sql` gives
-the statement to use instead of rewriting partitions.
+``log_date`` and hourly statistics by ``bucket_date``; within a file rows are
+sorted so that row-group statistics cut keyset and time predicates.
 """
 
 from __future__ import annotations
@@ -13,9 +11,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runloom.functions.time import naive_utc
+from runloom.functions.time import is_stored_instant, naive_utc, ts
 from runloom.operators.upsert import OP, touched_dates, upsert_runs
-from runloom.schemas import RUN_KEY, RUN_VALUES
 from runloom.session import shared_dir
 
 BATCH = "batch_id"
@@ -38,34 +35,126 @@ def write_runs(runs: DataFrame, path: str) -> None:
 def upsert_table(path: str, incoming: DataFrame) -> DataFrame:
     """Upsert folded runs into a stored table and return what changed.
 
-    Only the dates of the batch are read and rewritten. The new rows are written
-    to a folder of their own first: the table is never read while it is being
-    replaced, and an interrupted replacement can be repeated from that folder.
+    Only the dates of the batch are read and rewritten; a first upsert creates
+    the table. The new rows are written to a folder of their own first: the table
+    is never read while it is being replaced, and an interrupted replacement can
+    be repeated. That folder is removed at the end; the changes, which the result
+    reads, stay.
     """
     spark = incoming.sparkSession
-    staged = shared_dir(spark, "upsert")
-    upsert_runs(touched_dates(read_table(spark, path), incoming), incoming).write.parquet(staged)
-    rows = read_table(spark, staged)
-    write_runs(rows.drop(OP), path)
-    return rows.filter(F.col(OP) != "keep")
+    staged, changes = shared_dir(spark, "upsert"), shared_dir(spark, "changes")
+    if _folders(spark, path, "created_date"):
+        rows = upsert_runs(touched_dates(read_table(spark, path), incoming), incoming)
+    else:
+        rows = upsert_runs(incoming.limit(0), incoming)
+    _replace(rows, path, staged)
+    read_table(spark, staged).filter(F.col(OP) != "keep").write.parquet(changes)
+    delete(spark, staged)
+    return read_table(spark, changes)
+
+
+def apply_outcomes(path: str, outcomes: DataFrame) -> None:
+    """Put the outcomes of commands and sweeps (id, status, error_message) on the stored runs.
+
+    Ids occur once. Only the dates that hold one of the runs are rewritten. A
+    null error leaves the stored one.
+    """
+    spark = outcomes.sparkSession
+    staged = shared_dir(spark, "outcomes")
+    stored = read_table(spark, path)
+    new = outcomes.select("id", F.col("status").alias("_status"), F.col("error_message").alias("_error"))
+    # One row per date of the calendar at most.
+    dates = stored.join(new, "id", "left_semi").filter(is_stored_instant(F.col("created_at"))).select("created_date").distinct()
+    rows = stored.join(F.broadcast(dates), "created_date", "left_semi").join(new, "id", "left").withColumns({
+        "status": F.coalesce("_status", "status"), "error_message": F.coalesce("_error", "error_message"),
+    })
+    _replace(rows.select(*stored.columns), path, staged)
+    delete(spark, staged)
+
+
+def _replace(rows: DataFrame, path: str, staged: str) -> None:
+    rows.write.parquet(staged)
+    write_runs(read_table(rows.sparkSession, staged).drop(OP), path)
+
+
+def delete_before(spark: SparkSession, path: str, partition: str, column: str, cut: datetime) -> None:
+    """Delete what lies before an instant: whole folders of earlier dates, and rows of the date it falls on.
+
+    Nothing of later dates is read.
+    """
+    day = naive_utc(cut).date()
+    for folder in _folders(spark, path, partition):
+        if folder < day.isoformat():
+            delete(spark, f"{path.rstrip('/')}/{partition}={folder}")
+    boundary = f"{path.rstrip('/')}/{partition}={day}"
+    if exists(spark, boundary):
+        staged = shared_dir(spark, "kept")
+        read_table(spark, boundary).filter(F.col(column) >= ts(cut)).write.parquet(staged)
+        read_table(spark, staged).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(boundary)
+        delete(spark, staged)
+
+
+def _path(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _path(spark, path)
+    return files.exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, place = _path(spark, path)
+    files.delete(place, True)
+
+
+def _folders(spark: SparkSession, path: str, partition: str) -> list[str]:
+    """Values of a table's partition column, by its folders; none where there is no table yet."""
+    files, place = _path(spark, path)
+    if not files.exists(place):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(place)]
+    return [name.removeprefix(f"{partition}=") for name in names if name.startswith(f"{partition}=")]
 
 
 def write_logs(logs: DataFrame, path: str) -> None:
-    """Add log lines by date. The caller has removed lines already stored."""
-    dated = _by(logs.withColumn("log_date", F.to_date("ts")), "log_date")
-    dated.sortWithinPartitions("log_date", "job_run_id", "ts").write.mode("append").partitionBy("log_date").parquet(path)
+    """Add log lines by date, each identity once.
+
+    The dates of the lines are merged and replaced as a whole, so writing again
+    after a failure leaves no second copy.
+    """
+    spark = logs.sparkSession
+    dated = logs.withColumn("log_date", F.to_date("ts"))
+    if _folders(spark, path, "log_date"):
+        # One row per date of the calendar at most.
+        dates = dated.filter(is_stored_instant(F.col("ts"))).select("log_date").distinct()
+        stored = read_table(spark, path).join(F.broadcast(dates), "log_date", "left_semi")
+        dated = stored.unionByName(dated.join(stored.select("id"), "id", "left_anti"))
+    staged = shared_dir(spark, "logs")
+    dated.write.parquet(staged)
+    _write(_by(read_table(spark, staged), "log_date").sortWithinPartitions("log_date", "job_run_id", "ts"), path, "log_date")
+    delete(spark, staged)
 
 
 def write_rollup(rollup: DataFrame, path: str) -> None:
-    """Write hourly statistics; hours that occur are replaced as a whole."""
-    hourly = rollup.withColumn("bucket_hour", F.date_format("bucket_start", "yyyy-MM-dd-HH"))
-    _write(_by(hourly, "bucket_hour").sortWithinPartitions("bucket_hour", "queue"), path, "bucket_hour")
+    """Write hourly statistics; dates that occur are replaced as a whole."""
+    daily = rollup.withColumn("bucket_date", F.to_date("bucket_start"))
+    _write(_by(daily, "bucket_date").sortWithinPartitions("bucket_date", "bucket_start", "queue"), path, "bucket_date")
 
 
 def write_rollup_hour(rollup: DataFrame, path: str, bucket: datetime) -> None:
-    """Replace one hour, also when it has become empty."""
-    folder = f"{path.rstrip('/')}/bucket_hour={naive_utc(bucket):%Y-%m-%d-%H}"
-    rollup.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
+    """Replace one hour, also when it has become empty: its date is read and written again."""
+    spark = rollup.sparkSession
+    folder = f"{path.rstrip('/')}/bucket_date={naive_utc(bucket).date()}"
+    staged = shared_dir(spark, "hour")
+    rows = rollup
+    if exists(spark, folder):
+        rows = read_table(spark, folder).filter(F.col("bucket_start") != ts(bucket)).unionByName(rollup)
+    rows.write.parquet(staged)
+    final = read_table(spark, staged).sortWithinPartitions("bucket_start", "queue")
+    final.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
+    delete(spark, staged)
 
 
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
@@ -84,20 +173,3 @@ def _by(rows: DataFrame, partition: str) -> DataFrame:
 def _write(rows: DataFrame, path: str, partition: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
-
-def merge_runs_sql(table: str, incoming: str) -> str:
-    """MERGE with the upsert rules, for table formats that support it."""
-    finished = "IN ('completed', 'failed')"
-    status = f"CASE WHEN t.status {finished} AND s.status NOT {finished} THEN t.status ELSE s.status END"
-    tags = "CASE WHEN size(s.tags) > 0 THEN s.tags ELSE t.tags END"
-    plain = [*RUN_VALUES, "duration_ms"]
-    changed = " OR ".join(
-        [f"NOT (t.{c} <=> s.{c})" for c in plain] + [f"NOT (t.status <=> {status})", f"NOT (t.tags <=> {tags})"]
-    )
-    updates = ", ".join([f"t.{c} = s.{c}" for c in plain] + [f"t.status = {status}", f"t.tags = {tags}"])
-    columns = ["id", *RUN_KEY, "status", "tags", *plain]
-    return (
-        f"MERGE INTO {table} t USING {incoming} s ON {' AND '.join(f't.{k} = s.{k}' for k in RUN_KEY)} "
-        f"WHEN MATCHED AND ({changed}) THEN UPDATE SET {updates} "
-        f"WHEN NOT MATCHED THEN INSERT ({', '.join(columns)}) VALUES ({', '.join(f's.{c}' for c in columns)})"
-    )

@@ -3,13 +3,14 @@
 Each trigger reduces its messages to mergeable fold states or deduplicated log
 lines and writes them under the number of the batch. Writing a batch again
 replaces it, so redelivery after a failure is harmless, and no trigger rewrites
-what earlier ones stored. Reading folds the states; :func:`compact` folds them
-into the partitioned runs table from time to time.
+what earlier ones stored. Reading folds the states, and :func:`compact` folds
+them into fewer from time to time; or each batch is merged into a runs table.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,9 +26,9 @@ from runloom.operators.upsert import (
     within_retention,
 )
 from runloom.schemas import BUFFER_KEY
-from runloom.session import spread
+from runloom.session import shared_dir, spread
 from runloom.sources.messages import parse_job_messages, parse_log_messages, rejected_rows, valid_rows
-from runloom.sources.tables import BATCH, write_batch
+from runloom.sources.tables import BATCH, delete, upsert_table, write_batch
 
 
 def _start(stream: DataFrame, handle, checkpoint: str, once: bool) -> StreamingQuery:
@@ -39,25 +40,35 @@ def ingest_jobs(
     messages: DataFrame,
     path: str,
     checkpoint: str,
-    as_of: datetime | None = None,
+    as_of: datetime,
     retention: timedelta | None = None,
     semantics: str = "per_event",
     once: bool = True,
+    table: str | None = None,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Fold a stream of job messages into states under ``path/states``.
 
-    Refused messages go to ``path/rejects``.
+    Refused messages go to ``path/rejects``. With ``table`` each batch is also
+    merged into that runs table, of which only the dates of the batch are read,
+    and what it changed goes to ``path/changes``; then the work of a batch does
+    not grow with what was stored before. ``partitions`` deals each batch over so
+    many tasks.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_job_messages(spread(batch)).persist()
+        parsed = parse_job_messages(spread(batch, partitions)).persist()
         try:
             events = valid_rows(parsed)
             if retention is not None:
-                events = within_retention(events, as_of or datetime.now(timezone.utc), retention)
+                events = within_retention(events, as_of, retention)
             if semantics == "last_in_batch":
                 events = last_in_batch(events.withColumn(BATCH, F.lit(batch_id)), BATCH).drop(BATCH)
-            write_batch(fold_states(events), f"{path}/states", batch_id)
+            states = fold_states(events)
+            if table is not None:
+                changes = upsert_table(table, runs_of_states(states))
+                write_batch(change_feed(changes), f"{path}/changes", batch_id)
+            write_batch(states, f"{path}/states", batch_id)
             write_batch(rejected_rows(parsed), f"{path}/rejects", batch_id)
         finally:
             parsed.unpersist()
@@ -85,20 +96,30 @@ def changes_of_batch(runs: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def ingest_logs(
-    messages: DataFrame, runs: DataFrame, path: str, checkpoint: str, as_of: datetime, once: bool = True
+    messages: DataFrame,
+    runs: Callable[[], DataFrame],
+    path: str,
+    checkpoint: str,
+    as_of: datetime,
+    once: bool = True,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Resolve a stream of log messages against the runs table.
 
+    ``runs`` is called for each batch, because a frame keeps the list of files
+    that it was made with and would not see later runs.
+
     Lines of known runs go to ``path/logs``, the others to ``path/buffer`` until
     a drain finds their run. Both are keyed by batch; copies of a line that span
     batches are dropped on reading by identity.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_log_messages(spread(batch)).persist()
+        parsed = parse_log_messages(spread(batch, partitions)).persist()
         events = lines.first_of_each(valid_rows(parsed), BUFFER_KEY, "seq")
-        attached = lines.attach_runs(events, runs).persist()
+        attached = lines.attach_runs(events, runs())
         try:
+            attached.persist()
             write_batch(lines.resolved(attached), f"{path}/logs", batch_id)
             write_batch(lines.unresolved(attached, as_of), f"{path}/buffer", batch_id)
             write_batch(rejected_rows(parsed), f"{path}/rejects", batch_id)
@@ -115,6 +136,24 @@ def current_logs(spark: SparkSession, path: str) -> DataFrame:
     return lines.first_of_each(stored, lines.LOG_KEY, BATCH).select(*lines.LOG_COLUMNS)
 
 
+def drain_buffer(spark: SparkSession, path: str, runs: DataFrame, batch_id: int) -> None:
+    """Move waiting lines whose run has arrived to the logs, under a batch number of the drain's own.
+
+    Lines are written before the buffer is cut down to the rest, and both steps
+    can be repeated. No ingestion may write to ``path`` meanwhile.
+    """
+    waiting = current_buffer(spark, path)
+    staged = shared_dir(spark, "buffer")
+    attached = lines.attach_runs(waiting, runs)
+    attached.write.parquet(staged)
+    attached = spark.read.parquet(staged)
+    write_batch(lines.resolved(attached), f"{path}/logs", batch_id)
+    rest = attached.filter(F.col("job_run_id").isNull()).select(*waiting.columns)
+    rest = rest.withColumn(BATCH, F.lit(batch_id))
+    rest.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BATCH).parquet(f"{path}/buffer")
+    delete(spark, staged)
+
+
 def current_buffer(spark: SparkSession, path: str) -> DataFrame:
     """Waiting lines, each identity once."""
     waiting = spark.read.parquet(f"{path}/buffer")

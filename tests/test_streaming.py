@@ -34,7 +34,7 @@ def shuffled(spark, smallest, folder):
 
 def test_many_batches_equal_one_fold(spark, shuffled, folder):
     messages, path = shuffled
-    ingest.ingest_jobs(file_messages(spark, path, max_files=2), f"{folder}/out", f"{folder}/cp").awaitTermination()
+    ingest.ingest_jobs(file_messages(spark, path, max_files=2), f"{folder}/out", f"{folder}/cp", T0).awaitTermination()
     got = ingest.current_runs(spark, f"{folder}/out")
     batches = spark.read.parquet(f"{folder}/out/states").select("batch_id").distinct().count()
     assert batches == 4
@@ -56,7 +56,7 @@ def test_a_batch_delivered_again_leaves_no_second_copy(spark, folder):
 
 def test_a_restarted_stream_goes_on_where_it_stopped(spark, folder):
     source, out, checkpoint = f"{folder}/in", f"{folder}/out", f"{folder}/cp"
-    start = lambda: ingest.ingest_jobs(file_messages(spark, source), out, checkpoint).awaitTermination()
+    start = lambda: ingest.ingest_jobs(file_messages(spark, source), out, checkpoint, T0).awaitTermination()
     drop(spark, source, [job_message(job__id="1"), job_message(job__id="2")])
     start()
     drop(spark, source, [job_message(job__id="1", state="completed", phase="terminal", job__finishedOn=EPOCH + 5)], start=2)
@@ -81,7 +81,7 @@ def test_last_in_batch_uses_the_batches_of_the_stream(spark, folder):
     for name, files in (("one", None), ("two", 1)):
         messages = file_messages(spark, f"{folder}/{name}", max_files=files)
         out = f"{folder}/out-{name}"
-        ingest.ingest_jobs(messages, out, f"{out}/cp", semantics="last_in_batch").awaitTermination()
+        ingest.ingest_jobs(messages, out, f"{out}/cp", T0, semantics="last_in_batch").awaitTermination()
         status[name] = ingest.current_runs(spark, out).first().status
     assert status == {"one": "active", "two": "completed"}
 
@@ -104,7 +104,7 @@ def test_log_stream_of_many_batches(spark, smallest, folder):
     messages = fx.log_messages(spark, smallest).select("seq", "payload")
     messages.repartition(6, "seq").write.json(f"{folder}/in")
     table = fx.job_runs(spark, smallest)
-    ingest.ingest_logs(file_messages(spark, f"{folder}/in", max_files=2), table, f"{folder}/out", f"{folder}/cp", T0).awaitTermination()
+    ingest.ingest_logs(file_messages(spark, f"{folder}/in", max_files=2), lambda: table, f"{folder}/out", f"{folder}/cp", T0).awaitTermination()
     stored, waiting = ingest.current_logs(spark, f"{folder}/out"), ingest.current_buffer(spark, f"{folder}/out")
     lines = valid_rows(parse_log_messages(messages))
     identities = lines.select("queue", "job_id", "job_timestamp", "log_timestamp", "log_seq").distinct()
@@ -118,7 +118,7 @@ def test_hourly_stream_of_many_batches(spark, smallest, folder):
     table.repartition(5, "id").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     stats = windows.hourly_stream(stream, "60 days", fx.AS_OF)
-    windows.write_updates(stats, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    windows.write_updates(stats, f"{folder}/out", f"{folder}/cp", T0).awaitTermination()
     from runloom.operators.rollup import hourly_rollup
 
     expected = hourly_rollup(table, fx.AS_OF)

@@ -66,7 +66,14 @@ def test_live_jobs(spark):
     changes = {x.job_id: x for x in rc.reconcile_live(stored, live).collect()}
     assert (changes["1"].status, changes["1"].tags, changes["1"]._op) == ("active", ["t"], "update")
     assert (changes["5"].status, changes["5"]._op) == ("failed", "insert")
-    assert sorted(x.job_id for x in rc.reconcile_missing(stored, live).collect()) == ["2", "3"]
+    assert sorted(x.job_id for x in rc.reconcile_missing(stored, live, queues(spark, ["q1"])).collect()) == ["2", "3"]
+
+
+def test_queues_that_were_not_scanned_are_left_alone(spark):
+    stored = runs(spark, [run("1"), run("2", queue="q2", created_at=T0 - 48 * HOUR)])
+    live = spark.createDataFrame([], "queue string, job_id string, state string")
+    assert [x.job_id for x in rc.reconcile_missing(stored, live, queues(spark, ["q1"])).collect()] == ["1"]
+    assert rc.stalled(stored, live, T0, queues(spark, ["q1"])).count() == 0
 
 
 def test_stalled_runs(spark):
@@ -74,7 +81,7 @@ def test_stalled_runs(spark):
     stored = runs(spark, [run("gone", created_at=old), run("moved", created_at=old, status="active"), run("same", created_at=old),
                           run("fresh", created_at=fresh), run("delayed", created_at=old, status="delayed")])
     live = spark.createDataFrame([("q1", "moved", "completed"), ("q1", "same", "waiting")], "queue string, job_id string, state string")
-    got = {x.job_id: (x.action, x.status, x.error_message) for x in rc.stalled(stored, live, T0).collect()}
+    got = {x.job_id: (x.action, x.status, x.error_message) for x in rc.stalled(stored, live, T0, queues(spark, ["q1"])).collect()}
     assert got == {"gone": ("fail", "failed", "Job stalled"), "moved": ("resend", "active", None)}
 
 

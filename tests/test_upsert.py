@@ -159,7 +159,28 @@ def test_only_touched_dates_are_read(spark, folder):
     assert "dynamicpruning" in frame._jdf.queryExecution().executedPlan().toString()
 
 
-def test_merge_statement_covers_every_column():
-    sql = tables.merge_runs_sql("runs", "batch")
-    for column in up.RUN_VALUES:
-        assert f"t.{column} = s.{column}" in sql
+def test_an_upsert_keeps_stored_rows_of_any_time(spark, folder):
+    path, early = f"{folder}/runs", T0.replace(year=1969)
+    old = [run(x, created_at=early, enqueued_at=early) for x in "ab"] + [run("c", created_at=early + timedelta(days=1))]
+    assert tables.upsert_table(path, up.fold(events(spark, [event(0, "active", job_id=x, created_at=early, enqueued_at=early) for x in "ab"]))).count() == 2
+    tables.write_runs(runs(spark, old), path)
+    tables.upsert_table(path, up.fold(events(spark, [event(1, "active", job_id="d", created_at=early, enqueued_at=early)])))
+    assert sorted(r.job_id for r in tables.read_table(spark, path).collect()) == ["a", "b", "c", "d"]
+
+
+def test_outcomes_reach_the_stored_runs(spark, folder):
+    path = f"{folder}/runs"
+    tables.write_runs(runs(spark, [run("1"), run("2"), run("3", created_at=T0 + timedelta(days=1))]), path)
+    outcomes = spark.createDataFrame([("q1/1", "failed", "Job cancelled")], "id string, status string, error_message string")
+    tables.apply_outcomes(path, outcomes)
+    assert {r.job_id: (r.status, r.error_message) for r in tables.read_table(spark, path).collect()} == {
+        "1": ("failed", "Job cancelled"), "2": ("waiting", None), "3": ("waiting", None)}
+
+
+def test_retention_deletes_folders_and_cuts_the_boundary_date(spark, folder):
+    path = f"{folder}/runs"
+    hours = [T0 + timedelta(hours=12 * i) for i in range(-4, 3)]
+    tables.write_runs(runs(spark, [run(str(i), created_at=h) for i, h in enumerate(hours)]), path)
+    tables.delete_before(spark, path, "created_date", "created_at", T0)
+    stored = tables.read_table(spark, path)
+    assert sorted(r.job_id for r in stored.collect()) == ["4", "5", "6"]
