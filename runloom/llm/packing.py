@@ -32,7 +32,12 @@ END = 1
 # Branch-and-bound looks at so many bins at most before it keeps the best solution so far.
 NODES = 2_000
 _BLOCKS = 256
-_CACHE = 200_000
+# Words kept by a task before it starts anew.
+_CACHE = 400_000
+# Runs of letters before this one are lower-cased as the tokenizer does it and are in composed form.
+_LATIN_END = "\u0250"
+_STOPS = ".,;:!?"
+_WORD_END = "</w>"
 
 
 def default_tokenizer() -> str:
@@ -53,35 +58,55 @@ def _piece_rows(path: str, capacity: int, end: int):
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        closing = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        closing[[k for part, k in vocabulary.items() if part.endswith(_WORD_END)]] = True
         known: dict[str, bytes] = {}
         last = np.array([end], "<u4").tobytes()
 
+        def codes_of(parts: list[str]) -> list[bytes]:
+            found = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+            return [np.array(code.ids, "<u4").tobytes() for code in found]
+
+        def runs_of(parts: list[str]) -> list[bytes]:
+            """Codes of runs of letters, encoded as one text and parted behind word ends."""
+            found = tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids
+            ids = np.array(found, "<u4")
+            ends = np.flatnonzero(closing[ids]) + 1
+            if len(ends) != len(parts) or ends[-1] != len(ids):
+                return codes_of(parts)
+            data, bounds = ids.tobytes(), (4 * ends).tolist()
+            return [data[x:y] for x, y in zip([0, *bounds], bounds)]
+
         def learn(words: set[str]) -> None:
-            if len(known) > _CACHE:
-                known.clear()
-            cut = {}
+            runs, cut, others = {}, [], []
             for word in words:
-                # A run of letters and the stop behind it are tokens apart.
-                head = word.rstrip(".,")
-                cut[word] = (head, word[len(head):]) if head.isalpha() and head.isascii() else (word, "")
-            new = sorted({part for pair in cut.values() for part in pair if part not in known})
-            for k in range(0, len(new), 5000):
-                some = new[k : k + 5000]
-                for part, code in zip(some, tokenizer.encode_batch(some, add_special_tokens=False)):
-                    known[part] = np.array(code.ids, "<u4").tobytes()
-            for word, (head, tail) in cut.items():
-                known[word] = known[head] + known[tail]
+                # A run of letters and the stops behind it are tokens apart.
+                head = word.rstrip(_STOPS)
+                if head.isalpha() and max(head) < _LATIN_END and (low := head.lower()).isalpha():
+                    runs[low] = known.get(low)
+                    cut.append((word, low, word[len(head):]))
+                else:
+                    others.append(word)
+            new = [x for x, code in runs.items() if code is None]
+            if new:
+                runs.update(zip(new, runs_of(new)))
+            others += {tail for _, _, tail in cut if tail and tail not in known}.difference(others)
+            known.update(zip(others, codes_of(others)))
+            for word, low, tail in cut:
+                known[low] = runs[low]
+                known[word] = runs[low] + known[tail] if tail else runs[low]
 
         def encode(text: str) -> bytes:
             # Splitting at two kinds of white space only is safe: others stay inside a "word".
             words = text.replace("\n", " ").split(" ")
-            try:
-                return b"".join([known[x] for x in words])
-            except KeyError:
-                learn({x for x in words if x not in known})
-                if all(x in known for x in words):
-                    return b"".join([known[x] for x in words])
-                return b"".join([np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()])
+            missing = set(words).difference(known)
+            if missing:
+                if len(known) > _CACHE:
+                    known.clear()
+                    missing = set(words)
+                learn(missing)
+            return b"".join([known[x] for x in words])
 
         size = 4 * capacity
         for batch in batches:
