@@ -25,6 +25,7 @@ NEIGHBOURS = 15
 # The labelled sample has at most this many rows of each label.
 SAMPLE = 1500
 _BLOCK = 256
+_ROUNDS = 12
 
 
 def _grams(part: tokens.Slice) -> np.ndarray:
@@ -64,17 +65,39 @@ def _weighed(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
 
 
 def _vectors(rarity: np.ndarray):
+    """Vectors as the places of their values, then the values, two bytes each."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, counts in _blocks(batch.column(0)):
-                values = _weighed(counts, rarity).astype(np.float16)
+                values = _weighed(counts, rarity)
+                packed = []
+                for v in values:
+                    at = np.flatnonzero(v)
+                    packed.append(at.astype("<u2").tobytes() + v[at].astype("<f2").tobytes())
                 yield pa.record_batch([
-                    batch.column(1).slice(row, len(counts)), pa.array([v.tobytes() for v in values], pa.binary()),
+                    batch.column(1).slice(row, len(counts)), pa.array(packed, pa.binary()),
                 ], names=["label", "vector"])
 
     return rows
 
 
+def _principal(matrix: np.ndarray, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first right singular vectors and values, by subspace iteration.
+
+    Needs little beside the matrix, unlike a whole decomposition. The start is
+    fixed, so the same matrix gives the same vectors.
+    """
+    width = min(2 * dimensions, *matrix.shape)
+    basis = np.random.default_rng(0).standard_normal((matrix.shape[1], width)).astype(np.float32)
+    for _ in range(_ROUNDS):
+        basis, _ = np.linalg.qr(matrix.T @ (matrix @ basis))
+    image = matrix @ basis
+    values, turn = np.linalg.eigh((image.T @ image).astype(np.float64))
+    top = values.argsort()[::-1][:dimensions]
+    return basis @ turn[:, top], np.sqrt(np.maximum(values[top], 0))
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           sample: int = SAMPLE, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """The model: rarity of features, latent axes, latent vectors and labels of the sample.
@@ -100,15 +123,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.orderBy("label", "vector").limit(2 * sample).toPandas()
     if not len(rows):
         return {"rarity": rarity, "axes": np.zeros((FEATURES, 1)), "vectors": np.zeros((0, 1)), "labels": np.zeros(0)}
-    matrix = np.stack([np.frombuffer(v, np.float16) for v in rows["vector"]]).astype(np.float32)
-    # The right singular vectors, from the smaller of the two Gram matrices.
-    values, left = np.linalg.eigh(matrix @ matrix.T)
-    top = values.argsort()[::-1][: min(dimensions, len(values))]
-    top = top[values[top] > 1e-6 * max(values.max(), 1e-12)]
-    axes = matrix.T @ left[:, top] / np.sqrt(values[top])
+    matrix = np.zeros((len(rows), FEATURES), np.float32)
+    for k, v in enumerate(rows["vector"]):
+        half = len(v) // 2
+        matrix[k, np.frombuffer(v[:half], "<u2")] = np.frombuffer(v[half:], "<f2")
+    known_labels = rows["label"].to_numpy(np.float64)
+    del rows
+    axes, values = _principal(matrix, dimensions)
+    axes = axes[:, values > 1e-3 * max(values.max(), 1e-6)]
     vectors = matrix @ axes
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    return {"rarity": rarity, "axes": axes, "vectors": vectors, "labels": rows["label"].to_numpy(np.float64)}
+    return {"rarity": rarity, "axes": axes, "vectors": vectors, "labels": known_labels}
 
 
 def _vote(model: dict[str, np.ndarray], neighbours: int):
