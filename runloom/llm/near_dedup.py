@@ -2,12 +2,12 @@
 
 A document is the set of its distinct five-word shingles. MinHash samples of the
 set are cut into bands; documents that agree in a band are candidates. The
-samples are also folded into an odd sketch: a bitmap in which each (sample
-number, value) toggles one bit. Of two sketches the bits that differ come from
-the samples that differ, so the population count of their XOR estimates the
-similarity, precisely where it is high; candidates whose count could not come
-from a similarity at the threshold are dropped, and the rest is confirmed on the
-full sets.
+documents that have a candidate are sampled more finely, and these samples are
+folded into an odd sketch: a bitmap in which each (sample number, value) toggles
+one bit. Of two sketches the bits that differ come from the samples that differ,
+so the population count of their XOR estimates the similarity, precisely where it
+is high; candidates whose count could not come from a similarity at the threshold
+are dropped, and the rest is confirmed on the full sets.
 
 Documents with the same set form a class and are represented by its smallest
 id. Within a bucket no all-pairs join runs: members are compared with one centre,
@@ -34,11 +34,11 @@ from runloom.llm.stage import discard, documents, staged
 
 SHINGLE = 5
 BANDS, ROWS = 48, 5
-SAMPLES = BANDS * ROWS
-SKETCH = 512
+# Samples and bits of an odd sketch. At the threshold its estimate spreads by 0.016.
+SAMPLES, SKETCH = 1024, 2048
 # Centres of a bucket in each round; None is every pair of components that is left.
 ROUNDS = (1, 16, None)
-_KINDS = "doc_id long, n long, set_id binary, bands array<long>, sketch array<long>"
+_KINDS = "doc_id long, n long, set_id binary, bands array<long>"
 
 
 def shingle_sets(part: tokens.Slice) -> Iterator[np.ndarray]:
@@ -54,57 +54,75 @@ def shingle_sets(part: tokens.Slice) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def _samples(hashes: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """MinHash samples of one set, by linear permutations of 32 bits."""
-    x = (hashes >> np.uint64(32)).astype(np.uint32)
-    lowest = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(x), 256):
-        block = x[k : k + 256, None] * factor
-        block += shift
-        np.minimum(lowest, block.min(axis=0), out=lowest)
-    return lowest
+def _sampler(count: int, seed: int):
+    """MinHash samples of a set, by linear permutations of 32 bits."""
+    factor = (tokens.randoms(count, seed) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    shift = (tokens.randoms(count, seed + 1) >> np.uint64(32)).astype(np.uint32)
+
+    def samples(hashes: np.ndarray) -> np.ndarray:
+        x = (hashes >> np.uint64(32)).astype(np.uint32)
+        lowest = np.full(count, 0xFFFFFFFF, np.uint32)
+        for k in range(0, len(x), 256):
+            block = x[k : k + 256, None] * factor
+            block += shift
+            np.minimum(lowest, block.min(axis=0), out=lowest)
+        return lowest
+
+    return samples
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    factor = (tokens.randoms(SAMPLES, 2) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    shift = (tokens.randoms(SAMPLES, 3) >> np.uint64(32)).astype(np.uint32)
-    numbers = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
+    samples = _sampler(BANDS * ROWS, 2)
     of_band = tokens.randoms(BANDS, 4)
     for batch in batches:
         ids = batch.column(0)
         for part in tokens.slices(batch.column(1)):
             sets = list(shingle_sets(part))
             n = np.array([len(s) for s in sets])
-            low = np.array([_samples(s, factor, shift) for s in sets]).astype(np.uint64)
+            low = np.array([samples(s) for s in sets]).astype(np.uint64)
             bands = np.zeros((len(sets), BANDS), np.uint64)
             for row in range(ROWS):
                 bands = tokens.mix(bands * np.uint64(0x9E3779B97F4A7C15) + low[:, row::ROWS])
             bands ^= of_band
-            bit = tokens.mix(numbers + low) % np.uint64(SKETCH) + np.arange(len(sets), dtype=np.uint64)[:, None] * np.uint64(SKETCH)
-            bits = np.bincount(bit.ravel().astype(np.int64), minlength=len(sets) * SKETCH) & 1
-            sketch = np.packbits(bits.astype(np.uint8)).view(np.int64)
             some = n > 0
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.record_batch([
                 ids.slice(part.row, len(sets)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
                 tokens.lists(bands[some].view(np.int64).ravel(), np.where(some, BANDS, 0), pa.int64()),
-                tokens.lists(sketch, np.full(len(sets), SKETCH // 64), pa.int64()),
-            ], names=["doc_id", "n", "set_id", "bands", "sketch"])
+            ], names=["doc_id", "n", "set_id", "bands"])
+
+
+def odd_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The odd sketch of each text's samples, as 64-bit words."""
+    samples = _sampler(SAMPLES, 5)
+    numbers = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
+    for batch in batches:
+        ids = batch.column(0)
+        for part in tokens.slices(batch.column(1)):
+            sketches = []
+            for s in shingle_sets(part):
+                bit = tokens.mix(numbers + samples(s)) % np.uint64(SKETCH)
+                odd = np.bincount(bit.astype(np.int64), minlength=SKETCH) & 1
+                sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.record_batch([
+                ids.slice(part.row, len(sketches)),
+                tokens.lists(np.concatenate(sketches), np.full(len(sketches), SKETCH // 64), pa.int64()),
+            ], names=["doc_id", "sketch"])
 
 
 def most_differing(percent: int, z: float = 4.5) -> int:
     """The XOR count that a pair at the threshold exceeds with negligible chance.
 
     With d of k samples differing, 2d toggles fall into m bits. Their number
-    spreads as a binomial, the bits they leave set as balls in bins; z standard
-    deviations of both together are allowed.
+    spreads as a binomial, the bits they leave set as the odd ones of so many
+    balls in bins; z standard deviations of both together are allowed.
     """
     differ = 1 - percent / 100
     toggles = 2 * SAMPLES * differ
     left = math.exp(-2 * toggles / SKETCH)
     mean = SKETCH / 2 * (1 - left)
     by_sampling = 2 * math.sqrt(SAMPLES * differ * (1 - differ)) * left
-    by_folding = math.sqrt(SKETCH / 4 * (1 - left * left))
+    by_folding = math.sqrt(SKETCH / 4 * (1 - left * left) - toggles * left * left)
     return math.ceil(mean + z * math.hypot(by_sampling, by_folding))
 
 
@@ -181,7 +199,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     classes = signed.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"))
     classes = staged(classes, "classes")
     named = signed.join(classes, "set_id", "left")
-    reps = staged(named.filter("doc_id = rep").dropDuplicates(["doc_id", "set_id"]).select("doc_id", "n", "bands", "sketch"), "reps")
+    reps = staged(named.filter("doc_id = rep").dropDuplicates(["doc_id", "set_id"]).select("doc_id", "n", "bands"), "reps")
 
     buckets = reps.select(F.explode("bands").alias("bucket"), "doc_id", "n")
     shared = staged(buckets.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
@@ -190,7 +208,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     discard(shared)
     wanted = staged(members.select("doc_id").distinct(), "wanted")
     texts = staged(docs.join(wanted, "doc_id", "left_semi"), "texts", free=True)
-    sketches = staged(reps.join(wanted, "doc_id", "left_semi").select("doc_id", "sketch"), "sketches")
+    sketches = staged(texts.mapInArrow(odd_sketches, "doc_id long, sketch array<long>"), "sketches")
     discard(wanted, reps)
 
     labels, links = None, None
