@@ -13,8 +13,8 @@ Documents with the same set form a class and are represented by its smallest
 id. Within a bucket no all-pairs join runs: members are compared with one centre,
 then with a few, then with more, and each time only where the bucket still holds
 more than one component, so a bucket of many near copies costs its size. The
-last round compares what is left between the components of a bucket, so no link
-that could join two components is lost.
+last round compares what is left between the components of a bucket, each pair in
+the first bucket it shares, so no link that could join two components is lost.
 """
 
 from __future__ import annotations
@@ -54,6 +54,10 @@ def shingle_sets(part: tokens.Slice) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def _name(hashes: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
 def _sampler(count: int, seed: int):
     """MinHash samples of a set, by linear permutations of 32 bits."""
     factor = (tokens.randoms(count, seed) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -85,7 +89,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands = tokens.mix(bands * np.uint64(0x9E3779B97F4A7C15) + low[:, row::ROWS])
             bands ^= of_band
             some = n > 0
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            keys = [_name(s) for s in sets]
             yield pa.record_batch([
                 ids.slice(part.row, len(sets)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
                 tokens.lists(bands[some].view(np.int64).ravel(), np.where(some, BANDS, 0), pa.int64()),
@@ -93,21 +97,22 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def odd_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The odd sketch of each text's samples, as 64-bit words."""
+    """The odd sketch of each text's samples, as 64-bit words, and the name of its set."""
     samples = _sampler(SAMPLES, 5)
     numbers = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
     for batch in batches:
         ids = batch.column(0)
         for part in tokens.slices(batch.column(1)):
-            sketches = []
+            keys, sketches = [], []
             for s in shingle_sets(part):
+                keys.append(_name(s))
                 bit = tokens.mix(numbers + samples(s)) % np.uint64(SKETCH)
                 odd = np.bincount(bit.astype(np.int64), minlength=SKETCH) & 1
                 sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             yield pa.record_batch([
-                ids.slice(part.row, len(sketches)),
+                ids.slice(part.row, len(sketches)), pa.array(keys, pa.binary()),
                 tokens.lists(np.concatenate(sketches), np.full(len(sketches), SKETCH // 64), pa.int64()),
-            ], names=["doc_id", "sketch"])
+            ], names=["doc_id", "set_id", "sketch"])
 
 
 def most_differing(percent: int, z: float = 4.5) -> int:
@@ -162,21 +167,26 @@ def _pairs(members: DataFrame, sketches: DataFrame, centres: int | None, percent
     of_bucket = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_ones = staged(of_bucket.filter("low < high").select("bucket"), "open")
     members = members.join(open_ones, "bucket", "left_semi")
-    if centres is None:
-        chosen = members
-    else:
+    if centres is not None:
         slot = F.pmod(F.xxhash64("doc_id", "bucket"), F.lit(centres))
         chosen = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("doc_id", "n", "component")).alias("c"))
         chosen = chosen.select("bucket", "c.*")
-    members = members.join(sketches, "doc_id")
-    chosen = staged(chosen.join(sketches, "doc_id").select(
-        "bucket", *[F.col(c).alias(f"c_{c}") for c in ("doc_id", "n", "component", "sketch")]), "centres")
+    columns = ["doc_id", "n", "component", "sketch"]
+    if centres is None:
+        # Every member is a centre here, so a pair would come up in each bucket that it shares.
+        at = F.array_position("bands", F.col("bucket")).cast("int")
+        members = members.join(sketches, "doc_id").filter(at > 0).withColumn("earlier", F.slice("bands", F.lit(1), at - 1))
+        chosen, columns = members, [*columns, "earlier"]
+    else:
+        members, chosen = (rows.join(sketches, "doc_id") for rows in (members, chosen))
+    members = members.select("bucket", *columns)
+    chosen = staged(chosen.select("bucket", *[F.col(c).alias(f"c_{c}") for c in columns]), "centres")
     near = 100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")
     differing = sum(
         (F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("c_sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
     fit = (F.col("component") != F.col("c_component")) & near & (differing <= most_differing(percent))
     if centres is None:
-        fit = fit & (F.col("c_doc_id") < F.col("doc_id"))
+        fit = fit & (F.col("c_doc_id") < F.col("doc_id")) & ~F.arrays_overlap("earlier", "c_earlier")
     chosen = chosen.withColumnRenamed("bucket", "c_bucket")
     pairs = members.join(chosen, (F.col("bucket") == F.col("c_bucket")) & fit)
     ends = F.least("doc_id", "c_doc_id").alias("a"), F.greatest("doc_id", "c_doc_id").alias("b")
@@ -199,7 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     classes = signed.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"))
     classes = staged(classes, "classes")
     named = signed.join(classes, "set_id", "left")
-    reps = staged(named.filter("doc_id = rep").dropDuplicates(["doc_id", "set_id"]).select("doc_id", "n", "bands"), "reps")
+    reps = staged(named.filter("doc_id = rep").dropDuplicates(["doc_id", "set_id"]).select("doc_id", "set_id", "n", "bands"), "reps")
 
     buckets = reps.select(F.explode("bands").alias("bucket"), "doc_id", "n")
     shared = staged(buckets.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
@@ -208,7 +218,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     discard(shared)
     wanted = staged(members.select("doc_id").distinct(), "wanted")
     texts = staged(docs.join(wanted, "doc_id", "left_semi"), "texts", free=True)
-    sketches = staged(texts.mapInArrow(odd_sketches, "doc_id long, sketch array<long>"), "sketches")
+    sketched = texts.mapInArrow(odd_sketches, "doc_id long, set_id binary, sketch array<long>")
+    sketches = staged(sketched.join(reps.select("doc_id", "set_id", "bands"), ["doc_id", "set_id"]).drop("set_id"), "sketches")
     discard(wanted, reps)
 
     labels, links = None, None
