@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from runloom.llm.encoding import Encoder, default_tokenizer, documents_of
 from runloom.llm.stage import documents, staged
 
 CAPACITY = 4096
@@ -32,95 +33,25 @@ END = 1
 # Branch-and-bound looks at so many bins at most before it keeps the best solution so far.
 NODES = 2_000
 _BLOCKS = 256
-# Words kept by a task before it starts anew.
-_CACHE = 400_000
-# Runs of letters before this one are lower-cased as the tokenizer does it and are in composed form.
-_LATIN_END = "\u0250"
-_STOPS = ".,;:!?"
-_WORD_END = "</w>"
-
-
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _piece_rows(path: str, capacity: int, end: int):
-    """Token ids of texts, cut into pieces.
-
-    A word's ids do not depend on its neighbours, as white space always parts
-    tokens of this vocabulary, so ids are kept by word.
-    """
+    """Token ids of texts, cut into pieces."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-        closing = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        closing[[k for part, k in vocabulary.items() if part.endswith(_WORD_END)]] = True
-        known: dict[str, bytes] = {}
-        last = np.array([end], "<u4").tobytes()
-
-        def codes_of(parts: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-            return [np.array(code.ids, "<u4").tobytes() for code in found]
-
-        def runs_of(parts: list[str]) -> list[bytes]:
-            """Codes of runs of letters, encoded as one text and parted behind word ends."""
-            found = tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids
-            ids = np.array(found, "<u4")
-            ends = np.flatnonzero(closing[ids]) + 1
-            if len(ends) != len(parts) or ends[-1] != len(ids):
-                return codes_of(parts)
-            data, bounds = ids.tobytes(), (4 * ends).tolist()
-            return [data[x:y] for x, y in zip([0, *bounds], bounds)]
-
-        def learn(words: set[str]) -> None:
-            runs, cut, others = {}, [], []
-            for word in words:
-                # A run of letters and the stops behind it are tokens apart.
-                head = word.rstrip(_STOPS)
-                if head.isalpha() and max(head) < _LATIN_END and (low := head.lower()).isalpha():
-                    runs[low] = known.get(low)
-                    cut.append((word, low, word[len(head):]))
-                else:
-                    others.append(word)
-            new = [x for x, code in runs.items() if code is None]
-            if new:
-                runs.update(zip(new, runs_of(new)))
-            others += {tail for _, _, tail in cut if tail and tail not in known}.difference(others)
-            known.update(zip(others, codes_of(others)))
-            for word, low, tail in cut:
-                known[low] = runs[low]
-                known[word] = runs[low] + known[tail] if tail else runs[low]
-
-        def encode(text: str) -> bytes:
-            # Splitting at two kinds of white space only is safe: others stay inside a "word".
-            words = text.replace("\n", " ").split(" ")
-            missing = set(words).difference(known)
-            if missing:
-                if len(known) > _CACHE:
-                    known.clear()
-                    missing = set(words)
-                learn(missing)
-            return b"".join([known[x] for x in words])
-
-        size = 4 * capacity
+        encoder = Encoder(path)
         for batch in batches:
             ids, pieces, starts, lengths, sums, codes = [], [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                code = encode(text.as_py() or "") + last
-                for k, at in enumerate(range(0, len(code), size)):
-                    part = code[at : at + size]
-                    ids.append(doc_id)
+            names = batch.column(0).to_pylist()
+            for row, code in documents_of(batch, encoder, end):
+                for k, at in enumerate(range(0, len(code), capacity)):
+                    part = code[at : at + capacity]
+                    ids.append(names[row])
                     pieces.append(k)
-                    starts.append(at // 4)
-                    lengths.append(len(part) // 4)
+                    starts.append(at)
+                    lengths.append(len(part))
                     sums.append(zlib.crc32(part))
-                    codes.append(np.frombuffer(part, "<u4").astype(np.int32))
+                    codes.append(part.astype(np.int32))
             flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
             cut = pa.array(np.r_[0, np.cumsum(lengths)], pa.int32())
             yield pa.record_batch([

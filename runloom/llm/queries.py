@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runloom.llm import (
-    decontamination, exact_dedup, language, line_dedup, near_dedup, packing, pii, quality, substring_dedup, url_rules,
+    decontamination, exact_dedup, harmonic, language, line_dedup, near_dedup, packing, pii, quality, substring_dedup, url_rules,
 )
 from runloom.llm.stage import fold_of, table
 
@@ -110,6 +110,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+@query()
+def op11_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 @query(r"""
 WITH d AS (
     SELECT doc_id, list_filter(regexp_split_to_array(

@@ -77,7 +77,7 @@ class Slice(NamedTuple):
     offsets: np.ndarray
 
 
-def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[Slice]:
+def slices(texts: pa.Array | pa.ChunkedArray, size: int = SLICE) -> Iterator[Slice]:
     """The texts of a column in slices of at least one text. Null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -89,7 +89,7 @@ def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[Slice]:
     content = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE, "right")) - 1)
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         yield Slice(row, content[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row])
         row = to
 
