@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runloom.llm import (
-    decontamination, exact_dedup, harmonic, language, line_dedup, near_dedup, packing, pii, quality, substring_dedup, url_rules,
+    decontamination, exact_dedup, harmonic, importance, language, line_dedup, near_dedup, packing, pii, quality, ranked_search,
+    substring_dedup, url_rules,
 )
 from runloom.llm.stage import fold_of, table
 
@@ -227,3 +228,85 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p L
 """)
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rules_of(spark, URL_RULES))
+
+
+@query(r"""
+WITH RECURSIVE texts AS (
+    SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark
+), w AS (
+    SELECT row_number() OVER () AS k, side, doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
+    FROM texts
+), f AS (
+    SELECT k, side, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM w
+), n AS (
+    SELECT k, side, feature, count(*) AS n FROM f GROUP BY ALL
+), r(step, x, v) AS (
+    SELECT 0, x::BIGINT, x::BIGINT FROM range(256) t(x)
+    UNION ALL SELECT step + 1, x, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END FROM r WHERE step < 8
+), tab AS (
+    SELECT list(v ORDER BY x) AS tab FROM r WHERE step = 8
+), h AS (
+    SELECT feature, hex(encode(feature)) AS code FROM (SELECT DISTINCT feature FROM n)
+), b AS (
+    SELECT feature, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(code) // 2 + 1),
+        lambda i: ('0x' || substr(code, CAST(2 * i - 1 AS BIGINT), 2))::BIGINT)),
+        lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8))) % 10000 AS bucket
+    FROM h, tab
+), c AS (
+    SELECT side, bucket, sum(n)::BIGINT AS n FROM n JOIN b USING (feature) GROUP BY ALL
+), g AS (
+    SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM c WHERE side = 0) + 10000)::DOUBLE
+        / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM c WHERE side = 1) + 10000)::DOUBLE))) AS BIGINT) AS gain
+    FROM (FROM c WHERE side = 0) s LEFT JOIN (FROM c WHERE side = 1) t USING (bucket)
+), m AS (
+    SELECT k, sum(n * gain)::DOUBLE AS total FROM n JOIN b USING (feature) JOIN g USING (bucket) WHERE side = 0 GROUP BY k
+), d AS (
+    SELECT doc_id, len(words) AS n_words, greatest(2 * len(words) - 1, 0) AS n_features,
+        CAST(floor(coalesce(total, 0) / greatest(2 * len(words) - 1, 1)) AS BIGINT) AS weight,
+        ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h
+    FROM w LEFT JOIN m USING (k) WHERE side = 0 AND doc_id IS NOT NULL
+), s AS (
+    SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296))) AS BIGINT) AS score FROM d
+), p AS (
+    SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS place FROM s
+)
+SELECT doc_id, n_features, weight, score,
+    CASE WHEN place <= 25 * (SELECT count(*) FROM s WHERE n_words >= 20) // 100 THEN place END AS rank
+FROM p
+""")
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(r"""
+WITH d AS (
+    SELECT doc_id, unnest(list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term
+    FROM documents
+), q AS (
+    SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term
+    FROM benchmark
+), lengths AS (
+    SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id
+), totals AS (
+    SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths
+), f AS (
+    SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term
+), w AS (
+    SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM f, totals GROUP BY term, n_docs
+), s AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM q JOIN f USING (term) JOIN w USING (term) JOIN lengths USING (doc_id), totals GROUP BY item_id, doc_id
+), r AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT * FROM r WHERE rank <= 50
+""")
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

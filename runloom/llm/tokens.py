@@ -103,15 +103,32 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-def words(part: Slice, apart: np.ndarray, lower: bool = False) -> Words:
-    """The words between separators; none spans two texts."""
-    data = LOWER[part.data] if lower else part.data
+def bounds(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start and end (bytes) of the words between separators; the first word of each text, and one more."""
     inside = ~apart[data]
     edge = np.zeros(len(data) + 1, bool)
-    edge[part.offsets] = True
+    edge[offsets] = True
     before, after = np.r_[True, ~inside[:-1]] if len(data) else inside, np.r_[~inside[1:], True] if len(data) else inside
     start = np.flatnonzero(inside & (before | edge[:-1]))
     end = np.flatnonzero(inside & (after | edge[1:])) + 1
+    return start, end, np.searchsorted(start, offsets)
+
+
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The words as binary strings, one behind the other."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[start] += 1
+    inside[end] -= 1
+    body = data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+    cuts = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=cuts[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(cuts), pa.py_buffer(body)])
+
+
+def words(part: Slice, apart: np.ndarray, lower: bool = False) -> Words:
+    """The words between separators; none spans two texts."""
+    data = LOWER[part.data] if lower else part.data
+    start, end, first = bounds(data, part.offsets, apart)
     hashes = np.zeros(len(start), U64)
     i = 0
     while i < len(start):
@@ -123,7 +140,7 @@ def words(part: Slice, apart: np.ndarray, lower: bool = False) -> Words:
         a, b = start[i:j] - low, end[i:j] - low
         hashes[i:j] = (sums[b] - sums[a]) * down[a] + (b - a).astype(U64)
         i = j
-    return Words(mix(hashes), start, end, np.searchsorted(start, part.offsets))
+    return Words(mix(hashes), start, end, first)
 
 
 def windows(hashes: np.ndarray, length: int, family: int = 0) -> np.ndarray:
