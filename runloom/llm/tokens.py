@@ -1,13 +1,15 @@
 """Words and windows of many texts at once, as numpy arrays.
 
 Tasks get text in Arrow batches. Everything here works on a batch's bytes as a
-whole, in slices of about a megabyte, instead of text by text. Hashes are
-polynomials modulo 2^64 over random byte values, mixed at the end; they are the
-same in every process.
+whole, in slices of about a megabyte, instead of text by text. Words are told
+apart by 64 bits under a key that the driver draws, runs of words by polynomials
+modulo 2^64 over these, mixed at the end.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -51,8 +53,14 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES = randoms(256, 1)
-_OF_BYTES = Powers(0x9E3779B97F4A7C15)
+# Masks of the first so many bytes of eight.
+_UPTO = np.r_[(U64(1) << (U64(8) * np.arange(8, dtype=U64))) - U64(1), ~U64(0)]
+# Words over so many bytes are digested one by one.
+_LONGEST = 64
+# Drawn anew by every driver. Functions of this package travel to tasks by value
+# (see the package), and the key with them, so all tasks of a run share it and
+# nobody can make up words that collide.
+_KEY = randoms(_LONGEST // 8 + 2, int.from_bytes(os.urandom(4), "little"))
 _OF_WORDS = (Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F))
 
 
@@ -129,18 +137,34 @@ def words(part: Slice, apart: np.ndarray, lower: bool = False) -> Words:
     """The words between separators; none spans two texts."""
     data = LOWER[part.data] if lower else part.data
     start, end, first = bounds(data, part.offsets, apart)
-    hashes = np.zeros(len(start), U64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE, "right")))
-        low, high = start[i], end[j - 1]
-        up, down = _OF_BYTES.upto(int(high - low))
-        sums = np.zeros(high - low + 1, U64)
-        np.cumsum(_BYTES[data[low:high]] * up, out=sums[1:])
-        a, b = start[i:j] - low, end[i:j] - low
-        hashes[i:j] = (sums[b] - sums[a]) * down[a] + (b - a).astype(U64)
-        i = j
-    return Words(mix(hashes), start, end, first)
+    return Words(identities(data, start, end), start, end, first)
+
+
+def identities(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits for each word, the same for equal words.
+
+    Up to seven bytes and their number are the 64 bits, mixed under the key, so
+    short words never share theirs. Of longer words eight bytes at a time are
+    mixed in; very long ones get a keyed digest.
+    """
+    length = end - start
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    first = eight[start]
+    short = (first & _UPTO[np.minimum(length, 7)]) | (length.astype(U64) << U64(56))
+    hashes = mix(np.where(length > 7, first, short) ^ _KEY[0])
+    some = np.flatnonzero(length > 7)
+    hashes[some] += length[some].astype(U64) * _KEY[1]
+    for k in range(1, _LONGEST // 8 + 1):
+        if not len(some):
+            break
+        # A word of a multiple of eight bytes ends with none.
+        left = np.minimum(length[some] - 8 * k, 8)
+        hashes[some] = mix(hashes[some] ^ (eight[np.minimum(start[some] + 8 * k, len(data))] & _UPTO[left]) ^ _KEY[1 + k])
+        some = some[left == 8]
+    for k in np.flatnonzero(length > _LONGEST).tolist():
+        word = hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, key=_KEY[0].tobytes())
+        hashes[k] = int.from_bytes(word.digest(), "little")
+    return hashes
 
 
 def windows(hashes: np.ndarray, length: int, family: int = 0) -> np.ndarray:

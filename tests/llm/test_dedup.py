@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from runloom.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
+from runloom.llm import decontamination, exact_dedup, line_dedup, near_dedup, substring_dedup
 
 WHITE = "\x20\x09-\x0d"
 
@@ -124,3 +124,42 @@ def test_empty_tables_null_ids_and_null_texts(spark, operator):
     assert operator(frame(spark, []).limit(0)).count() == 0
     found = operator(frame(spark, [(None, "a b"), (1, None), (2, None)])).collect()
     assert sorted(r.doc_id for r in found) == [1, 2]
+
+
+def thue_morse(n):
+    """A word and its complement, alike to every polynomial hash modulo a power of two."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomials_cannot_tell_apart(spark):
+    for size in (64, 1024, 2048):
+        one, two = thue_morse(size)
+        around = [f"w{k}" for k in range(60)]
+        texts = [" ".join([*around[:30], word, *around[30:]]) for word in (one, two)]
+        alone = [" ".join([word] * 60) for word in (one, two)]
+        docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *alone])], "doc_id long, text string")
+        cut = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs).collect()}
+        assert cut == {0: 0, 1: 0, 2: 0, 3: 0}
+        near = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs.filter("doc_id > 1")).collect()}
+        assert near == {2: 2, 3: 3}
+        items = spark.createDataFrame([(1, one), (2, " ".join([one] * 12))], "item_id long, text string")
+        hits = {r.doc_id: r["items"] for r in decontamination.contamination(docs, items).collect()}
+        assert hits == {0: ["1"], 1: [], 2: ["1", "2"], 3: []}
+
+
+def test_all_tasks_share_the_key_of_the_driver(spark):
+    from runloom.llm import tokens
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["short", "a rather long wordwordword", "x" * 300, "exactly8", "sixteen-bytes-xx"] * 20
+
+    def hashed(batches):
+        for batch in batches:
+            for part in tokens.slices(batch.column(0)):
+                w = tokens.words(part, tokens.WHITE_SPACE)
+                yield pa.record_batch([pa.array(w.hash.view(np.int64))], names=["h"])
+
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    assert docs.mapInArrow(hashed, "h long").distinct().count() == len(set(" ".join(texts).split(" ")))
