@@ -19,7 +19,7 @@ def in_window(rollup: DataFrame, window: Window) -> DataFrame:
 
 def totals(runs: DataFrame, rollup: DataFrame, window: Window) -> DataFrame:
     """Live running and waiting counts next to finished counts of the window."""
-    live = runs.agg(
+    live = runs.filter(F.col("status").isin("active", "waiting")).agg(
         F.count_if(F.col("status") == "active").alias("running_tasks"),
         F.count_if(F.col("status") == "waiting").alias("waiting_in_queue"),
     )

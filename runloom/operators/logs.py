@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from runloom.functions.text import contains_ci, log_id, uuid_of
 from runloom.functions.time import epoch_ms, millis_between, to_epoch_ms, ts
+from runloom.operators.pruning import of_dates
 from runloom.schemas import BUFFER_KEY, LOG_KEY, LOG_LEVELS
 
 LOG_COLUMNS = ["id", "job_run_id", "level", "message", "ts", "log_seq"]
@@ -27,11 +28,12 @@ def first_of_each(events: DataFrame, key: list[str], order: str) -> DataFrame:
 def attach_runs(events: DataFrame, runs: DataFrame) -> DataFrame:
     """Log events with the id of their run, NULL while the run is unknown.
 
-    Only the key and the id of the runs are read. The runs hold a key once, so
-    the join never multiplies rows; partitions of a job with very many lines
-    are split by AQE on the log side.
+    Only the key and the id of the runs are read, of a table stored by date only
+    the dates of the lines' jobs. The runs hold a key once, so the join never
+    multiplies rows; partitions of a job with very many lines are split by AQE on
+    the log side.
     """
-    known = runs.select(
+    known = of_dates(runs, events, "job_timestamp").select(
         "queue", "job_id", F.col("enqueued_at").alias("job_timestamp"), F.col("id").alias("job_run_id")
     )
     return events.join(known, ["queue", "job_id", "job_timestamp"], "left")
@@ -115,6 +117,45 @@ def logs_page(logs: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     return numbered.withColumn("ts", to_epoch_ms(F.col("ts")))
 
 
+def line_counts(logs: DataFrame) -> DataFrame:
+    """How many lines each run has in each hour: what deep offsets are looked up in.
+
+    Kept beside a stored table and computed for the dates that are written; one
+    row per run and hour with lines.
+    """
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    return logs.groupBy("job_run_id", F.to_date("ts").alias("log_date"), hour.alias("hour")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def stored_logs_page(logs: DataFrame, counts: DataFrame, run_id: str, limit: int = 100, offset: int = 0) -> DataFrame:
+    """One page of a run's lines in a table stored by date, as :func:`logs_page` gives it.
+
+    The running sum of the run's hourly counts says in which hours the page
+    lies; only their dates are opened, and of those the lines of the hours. So
+    an offset of a million costs what the first page costs. The counts of one
+    run are collected, one row per hour of its life.
+    """
+    if not 1 <= limit <= 1000 or offset < 0:
+        raise ValueError("limit must lie between 1 and 1000 and offset must not be negative")
+    hours = counts.filter(F.col("job_run_id") == run_id).select("hour", "lines").orderBy("hour").collect()
+    chosen, before, skipped = [], 0, 0
+    for row in hours:
+        if before + row["lines"] <= offset:
+            skipped = before + row["lines"]
+        elif before < offset + limit:
+            chosen.append(row["hour"])
+        before += row["lines"]
+    rows = logs.filter(F.col("job_run_id") == run_id)
+    if not chosen:
+        return logs_page(rows.filter(F.lit(False)), limit)
+    first, last = min(chosen), max(chosen)
+    rows = rows.filter((F.col("ts") >= ts(first)) & (F.col("ts") < ts(last + timedelta(hours=1))))
+    if "log_date" in logs.columns:
+        rows = rows.filter(F.col("log_date").between(F.lit(first.date()), F.lit(last.date())))
+    page = logs_page(rows, limit, offset - skipped)
+    return page.withColumn("position", (F.col("position") + skipped).cast("int"))
+
+
 def logs_total(logs: DataFrame) -> DataFrame:
     return logs.agg(F.count(F.lit(1)).alias("total"))
 

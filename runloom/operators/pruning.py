@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from runloom.functions.time import naive_utc, ts
+from runloom.functions.time import is_stored_instant, naive_utc, ts
 
 
 def created_between(
@@ -28,3 +28,15 @@ def created_between(
         if dated:
             df = df.filter(F.col("created_date") <= F.lit(naive_utc(end).date()))
     return df
+
+
+def of_dates(df: DataFrame, moments: DataFrame, column: str) -> DataFrame:
+    """Rows of the creation dates that a column of another frame names, if the table is stored by date.
+
+    Spark prunes the other dates at run time. One row per date of the calendar
+    at most is sent to the tasks.
+    """
+    if "created_date" not in df.columns:
+        return df
+    dates = moments.filter(is_stored_instant(F.col(column))).select(F.to_date(column).alias("created_date")).distinct()
+    return df.join(F.broadcast(dates), "created_date", "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from runloom.functions.text import contains_ci, drop_blank, drop_zero
 from runloom.functions.time import DAY, dashboard_window, floor_to, label, naive_utc, trunc, ts
 from runloom.operators.dashboard import calendar, pressure_per_queue
-from runloom.operators.paging import Page, check_choice, check_limit, cut_page, flipped, ordered
+from runloom.operators.paging import MAX_LIMIT, Page, check_choice, check_limit, cut_page, flipped, ordered
 from runloom.operators.pruning import created_between
 
 METRICS = ["waiting_jobs", "active_jobs", "pressure"]
@@ -146,24 +146,31 @@ def queue_names_page(queues: DataFrame, cursor: str | None = None, search: str |
     return Page(forward.filter(F.col("position") <= limit), cursors)
 
 
-def queue_chart(names: list[str], rollup: DataFrame, runs: DataFrame, as_of: datetime, days: int) -> DataFrame:
+def queue_chart(names: list[str] | DataFrame, rollup: DataFrame, runs: DataFrame, as_of: datetime, days: int) -> DataFrame:
     """Completed and failed runs per step for the queues of a page.
 
     Closed hours come from the rollup, the current hour from the runs; the two
-    are added up, and steps without runs show zero. The names are those of one
-    page, so that they reach both scans as a list of values.
+    are added up, and steps without runs show zero. Names in a list reach both
+    scans as values; a page of queues, as a frame with their ``name``, is joined
+    as it comes, without running it first.
     """
-    check_limit(max(len(names), 1))
+    if isinstance(names, DataFrame):
+        # A page has MAX_LIMIT rows at most.
+        pages = names.select(F.col("name").alias("queue")).limit(MAX_LIMIT)
+        on_page = lambda rows: rows.join(F.broadcast(pages), "queue", "left_semi")
+    else:
+        check_limit(max(len(names), 1))
+        pages = rollup.sparkSession.createDataFrame([(name,) for name in names], "queue string")
+        on_page = lambda rows: rows.filter(F.col("queue").isin(names))
     window = dashboard_window(as_of, days)
     this_hour = floor_to("hour", as_of)
-    on_page = F.col("queue").isin(names)
     hours = rollup.filter((F.col("bucket_start") >= ts(window.start)) & (F.col("bucket_start") < ts(this_hour)))
-    past = hours.filter(on_page).select(
+    past = on_page(hours).select(
         "queue", trunc(window.grain, F.col("bucket_start")).alias("_step"),
         F.col("completed_runs").alias("completed"), F.col("failed_runs").alias("failed"),
     )
     fresh = created_between(runs, this_hour, naive_utc(as_of)).filter(F.col("status").isin("completed", "failed"))
-    now = fresh.filter(on_page).select(
+    now = on_page(fresh).select(
         "queue", trunc(window.grain, F.col("created_at")).alias("_step"),
         (F.col("status") == "completed").cast("long").alias("completed"),
         (F.col("status") == "failed").cast("long").alias("failed"),
@@ -171,7 +178,6 @@ def queue_chart(names: list[str], rollup: DataFrame, runs: DataFrame, as_of: dat
     points = past.unionByName(now).groupBy("queue", "_step").agg(
         F.sum("completed").alias("completed"), F.sum("failed").alias("failed")
     )
-    pages = rollup.sparkSession.createDataFrame([(name,) for name in names], "queue string")
     steps = calendar(pages, window.start, window.end, window.step, "_step")
     return steps.join(points, ["queue", "_step"], "left").select(
         "queue", label(F.col("_step")).alias("timestamp"),
@@ -197,8 +203,8 @@ def queue_stats(queues: DataFrame, schedulers: DataFrame) -> DataFrame:
 
 
 def system_overview(runs: DataFrame, queues: DataFrame, schedulers: DataFrame) -> DataFrame:
-    """The queue numbers together with the live runs."""
-    live = runs.agg(
+    """The queue numbers together with the live runs; of the others none is read beyond its status."""
+    live = runs.filter(F.col("status").isin("active", "waiting")).agg(
         F.count_if(F.col("status") == "active").alias("active_jobs"),
         F.count_if(F.col("status") == "waiting").alias("waiting_jobs"),
     )
@@ -212,7 +218,9 @@ def job_stats(runs: DataFrame, as_of: datetime, days: int = 1) -> DataFrame:
         raise ValueError("days must lie between 1 and 30")
     end = naive_utc(as_of)
     recent = F.col("created_at").between(ts(end - days * DAY), ts(end))
-    return runs.agg(
+    finished = F.col("status").isin("failed", "completed") & recent
+    # The two kinds of runs it counts, told to the scan.
+    return runs.filter((F.col("status") == "active") | finished).agg(
         F.count_if(F.col("status") == "active").alias("active"),
         F.count_if((F.col("status") == "failed") & recent).alias("failed"),
         F.count_if((F.col("status") == "completed") & recent).alias("completed"),
@@ -220,20 +228,31 @@ def job_stats(runs: DataFrame, as_of: datetime, days: int = 1) -> DataFrame:
 
 
 def _latest(runs: DataFrame, *values: str) -> DataFrame:
-    newest = F.struct("created_at", "job_id", "id")
-    return runs.groupBy("queue").agg(F.max_by(F.struct(*values), newest).alias("_last"))
+    """Values of the latest run of each queue, in two steps.
+
+    The newest instants come from a hash aggregate over two narrow columns; only
+    the runs at those instants, of their dates if the table is stored by date,
+    have their values read and their ties broken.
+    """
+    newest = runs.groupBy("queue").agg(F.max("created_at").alias("_newest"))
+    newest = newest.select(F.col("queue").alias("_queue"), "_newest", F.to_date("_newest").alias("_date"))
+    on = (F.col("queue") == F.col("_queue")) & (F.col("created_at") == F.col("_newest"))
+    if "created_date" in runs.columns:
+        on = on & (F.col("created_date") == F.col("_date"))
+    tied = runs.join(newest, on).select("queue", "job_id", "id", *[c for c in values if c not in ("queue", "job_id", "id")])
+    first = Window.partitionBy("queue").orderBy(F.desc("job_id"), F.desc("id"))
+    return tied.withColumn("_place", F.row_number().over(first)).filter("_place = 1").select("queue", *values)
 
 
 def last_status(queues: DataFrame, runs: DataFrame) -> DataFrame:
     """Status of the latest run of each queue that has one."""
-    last = _latest(runs, "status").select(F.col("queue").alias("name"), F.col("_last.status").alias("status"))
+    last = _latest(runs, "status").withColumnRenamed("queue", "name")
     return queues.select(F.col("id").alias("queue_id"), "name").join(last, "name").select("queue_id", "status")
 
 
 def last_run_data(runs: DataFrame) -> DataFrame:
     """Payload and job name of the latest run of each queue."""
-    last = _latest(runs, "data", "name")
-    return last.select("queue", F.col("_last.data").alias("data"), F.col("_last.name").alias("job_name"))
+    return _latest(runs, "data", "name").withColumnRenamed("name", "job_name")
 
 
 def queue_names(runs: DataFrame) -> DataFrame:

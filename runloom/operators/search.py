@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runloom.functions.text import contains_ci, is_uuid
 from runloom.functions.time import created_boundary, instant, to_epoch_ms, ts
 from runloom.operators.paging import Page, check_choice, check_limit, cut_page, flipped, ordered
-from runloom.operators.pruning import created_between
+from runloom.operators.pruning import created_between, of_dates
 from runloom.schemas import JOB_RUNS, JOB_STATUSES, RUN_KEY, RUN_LIST_COLUMNS
 
 
@@ -115,12 +116,69 @@ def jobs_page(
     return cut_page(runs.select(*RUN_LIST_COLUMNS), order, limit, cursor_direction, cursor is not None, fields)
 
 
-def job_detail(runs: DataFrame, ids: DataFrame | str) -> DataFrame:
+def stored_page(
+    runs: DataFrame,
+    dates: list[str],
+    cursor: JobCursor | None = None,
+    cursor_direction: str = "next",
+    sort_direction: str = "desc",
+    limit: int = 20,
+) -> DataFrame:
+    """One page by creation time of a table stored by date: the rows, their position and the cursors on each row.
+
+    ``dates`` are the partitions the table has. The page is looked for in the
+    date that the order begins with, then in two, four and so on, until it is
+    full: a page of a busy table reads one date, whatever the table holds. At
+    most ``limit`` + 1 rows come to the driver each time, and rows and cursors
+    come from the same scan.
+    """
+    check_limit(limit)
+    direction = flipped(sort_direction, cursor_direction)
+    left = sorted(dates, reverse=direction == "desc")
+    if cursor is not None:
+        day = instant(cursor.created_at).date().isoformat()
+        left = [d for d in left if (d <= day if direction == "desc" else d >= day)]
+    order = [ordered(F.col(c), direction) for c in ("created_at", "job_id", "id")]
+    found, take = [], 1
+    rows = runs if cursor is None else after_cursor(runs, cursor, cursor_direction, "created_at", sort_direction)
+    while left and len(found) <= limit:
+        some, left, take = left[:take], left[take:], 2 * take
+        low, high = (F.lit(date.fromisoformat(d)) for d in (min(some), max(some)))
+        part = rows.filter(F.col("created_date").between(low, high)).select(*RUN_LIST_COLUMNS)
+        # Dates come in the order of the page, so what they add goes behind what is there.
+        found += part.orderBy(*order).limit(limit + 1 - len(found)).collect()
+    more, found = len(found) > limit, found[:limit]
+    if cursor_direction == "prev":
+        found.reverse()
+    after, before = (cursor is not None, more) if cursor_direction == "prev" else (more, cursor is not None)
+    spark = runs.sparkSession
+    page = spark.createDataFrame(
+        [(*r, k + 1) for k, r in enumerate(found)], runs.select(*RUN_LIST_COLUMNS, F.lit(0).alias("position")).schema)
+    fields = [to_epoch_ms(F.col("created_at")).alias("created_at"), "job_id", "id", "duration_ms"]
+    ends = F.struct(*fields)
+    at = lambda k: F.max(F.when(F.col("position") == k, ends)).over(Window.partitionBy())
+    return page.withColumns({
+        "next_cursor": at(len(found)) if after else F.lit(None).cast(page.select(ends.alias("c")).schema["c"].dataType),
+        "prev_cursor": at(1) if before else F.lit(None).cast(page.select(ends.alias("c")).schema["c"].dataType),
+    })
+
+
+def job_detail(runs: DataFrame, ids: DataFrame | str, created_at: datetime | None = None) -> DataFrame:
     """All fields of one run, or of many given as a frame with an ``id`` column.
 
-    Instants are epoch milliseconds.
+    Instants are epoch milliseconds. Callers who know when a run was created
+    (the list shows it) say so, by ``created_at`` or by a column of that name
+    beside the ids: then only that date is opened, and in it, by the Bloom
+    filters of a stored table, only the row groups that may hold the id.
     """
-    found = runs.filter(F.col("id") == ids) if isinstance(ids, str) else runs.join(ids.select("id"), "id", "left_semi")
+    if isinstance(ids, str):
+        found = runs.filter(F.col("id") == ids)
+        if created_at is not None:
+            found = created_between(found, created_at, created_at, inclusive_end=True)
+    else:
+        if "created_at" in ids.columns:
+            runs = of_dates(runs, ids, "created_at")
+        found = runs.join(ids.select("id"), "id", "left_semi")
     moments = ["created_at", "enqueued_at", "started_at", "finished_at"]
     return found.select(*JOB_RUNS.names).withColumns({c: to_epoch_ms(F.col(c)) for c in moments})
 
@@ -128,6 +186,9 @@ def job_detail(runs: DataFrame, ids: DataFrame | str) -> DataFrame:
 def jobs_by_key(runs: DataFrame, keys: DataFrame) -> DataFrame:
     """Ids of runs given by (queue, job_id), and enqueued_at where the keys have it."""
     on = [c for c in RUN_KEY if c in keys.columns]
+    if "enqueued_at" in on:
+        # The creation time is part of the key, so only its dates can hold the run.
+        runs = of_dates(runs, keys, "enqueued_at")
     return runs.select("id", *RUN_KEY).join(keys.select(*on).distinct(), on, "left_semi")
 
 

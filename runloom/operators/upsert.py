@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runloom.functions.status import is_terminal
 from runloom.functions.text import run_id
-from runloom.functions.time import duration_ms, is_stored_instant, naive_utc, ts
+from runloom.functions.time import duration_ms, naive_utc, ts
+from runloom.operators.pruning import of_dates
 from runloom.schemas import RUN_KEY, RUN_VALUES
 
 OP = "_op"
+BEFORE = "_before"
 # Columns of a fold state. States of one key combine to the state of all events.
 STATE = ["_last", "_last_seq", "_terminal", "_terminal_seq", "_tags", "_tags_seq"]
 
@@ -111,7 +113,7 @@ def _merged(c: str) -> Column:
     return F.col(c)
 
 
-def _merge(current: DataFrame, incoming: DataFrame, how: str) -> DataFrame:
+def _merge(current: DataFrame, incoming: DataFrame, how: str, images: bool = False) -> DataFrame:
     values = ["status", "tags", *RUN_VALUES]
     old = current.select(*RUN_KEY, *[F.col(c).alias(f"_o_{c}") for c in values], F.lit(True).alias("_stored"))
     new = incoming.select(*RUN_KEY, *values, F.lit(True).alias("_fresh"))
@@ -122,27 +124,31 @@ def _merge(current: DataFrame, incoming: DataFrame, how: str) -> DataFrame:
     for c in values:
         same = same & merged[c].eqNullSafe(_old(c))
     op = F.when(~stored, F.lit("insert")).when(~fresh | same, F.lit("keep")).otherwise(F.lit("update"))
-    return complete(both.select(*RUN_KEY, *[merged[c].alias(c) for c in values], op.alias(OP)))
+    rows = [*RUN_KEY, *[merged[c].alias(c) for c in values], op.alias(OP)]
+    if images:
+        rows.append(F.when(op == "update", F.struct(*[_old(c).alias(c) for c in values])).alias(BEFORE))
+    return complete(both.select(*rows))
 
 
-def upsert_runs(current: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_runs(current: DataFrame, incoming: DataFrame, images: bool = False) -> DataFrame:
     """The whole table after the upsert, with what happened to each row.
 
     ``incoming`` holds a key once (the outcome of a fold). Updates that would
-    change nothing count as kept.
+    change nothing count as kept. With ``images`` updated rows say in
+    ``_before`` what they held.
     """
-    return _merge(current, incoming, "full_outer")
+    return _merge(current, incoming, "full_outer", images)
 
 
-def upsert_changes(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Only the inserted and updated rows.
+def upsert_changes(current: DataFrame, incoming: DataFrame, images: bool = False) -> DataFrame:
+    """Only the inserted and updated rows; with ``images`` also what each held before, in ``_before``.
 
     The stored table is first cut to the keys of the batch, a semi join that
     Spark broadcasts while the batch is small, so the table itself is not
     shuffled.
     """
     touched = current.join(incoming.select(*RUN_KEY), RUN_KEY, "left_semi")
-    return _merge(touched, incoming, "left").filter(F.col(OP) != "keep")
+    return _merge(touched, incoming, "left", images).filter(F.col(OP) != "keep")
 
 
 def touched_dates(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -152,10 +158,7 @@ def touched_dates(current: DataFrame, incoming: DataFrame) -> DataFrame:
     no other partition can hold a run of the batch. Spark prunes the others at
     run time from the (few) dates of the batch.
     """
-    dates = incoming.filter(is_stored_instant(F.col("enqueued_at")))
-    dates = dates.select(F.to_date("enqueued_at").alias("created_date")).distinct()
-    # One row per date of the calendar at most.
-    return current.join(F.broadcast(dates), "created_date", "left_semi")
+    return of_dates(current, incoming, "enqueued_at")
 
 
 def change_feed(changes: DataFrame) -> DataFrame:

@@ -7,12 +7,14 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from runloom.functions.status import derive_status, is_terminal, normalise_state
-from runloom.operators import logs as lg, upsert as up
+from runloom.operators import deltas, logs as lg, upsert as up
+from runloom.operators.rollup import hourly_rollup
 from runloom.plans import fixture as fx
 from runloom.plans.checks import AS_OF, check, uuid_sql
 from runloom.plans.registry import query
 from runloom.session import shared_dir
 from runloom.sources import tables
+from runloom.sources.versions import Versioned
 from runloom.sources.messages import parse_job_messages, parse_log_messages, rejected_rows, valid_rows, with_tags
 
 _VALID = "SELECT * FROM messages WHERE reject_reason IS NULL"
@@ -116,6 +118,7 @@ _ID = uuid_sql("queue", "job_id", "CAST(created_ms AS VARCHAR)")
 _FOLDED = f"""SELECT {_ID} AS id, queue, job_id, enqueued_at, status, tags, started_at, finished_at, error_message, result,
     CAST(date_diff('millisecond', started_at, finished_at) AS INTEGER) AS duration_ms FROM folded"""
 FOLD_CHECK = check(_FOLDED, valid=_VALID, folded=_fold_sql("valid"))
+STATUS_CHECK = check(f"SELECT {_ID} AS id, status FROM folded", valid=_VALID, folded=_fold_sql("valid"))
 _FOLD_COLUMNS = ["id", "queue", "job_id", "enqueued_at", "status", "tags", "started_at", "finished_at",
                  "error_message", "result", "duration_ms"]
 
@@ -187,6 +190,43 @@ def upsert_stored_table(spark, sf):
     return folded_columns(tables.read_table(spark, path))
 
 
+_FINISHED = "status IN ('completed', 'failed') AND started_at IS NOT NULL"
+
+
+@query(check(f"""
+  SELECT date_trunc('hour', enqueued_at) AS bucket_start, queue, COUNT(*) AS total_runs,
+    COUNT(*) FILTER (WHERE status = 'completed') AS completed_runs, COUNT(*) FILTER (WHERE status = 'failed') AS failed_runs,
+    COUNT(*) FILTER (WHERE status = 'active') AS active_runs, COUNT(*) FILTER (WHERE status = 'waiting') AS waiting_runs,
+    CAST(COALESCE(SUM(took) FILTER (WHERE status = 'completed'), 0) AS BIGINT) AS duration_total_ms,
+    COUNT(took) FILTER (WHERE status = 'completed') AS duration_count,
+    CAST(MIN(took) FILTER (WHERE status = 'completed') AS INTEGER) AS duration_min_ms,
+    CAST(MAX(took) FILTER (WHERE status = 'completed') AS INTEGER) AS duration_max_ms,
+    CAST(COALESCE(SUM(waited) FILTER (WHERE {_FINISHED}), 0) AS BIGINT) AS pressure_total_ms,
+    COUNT(*) FILTER (WHERE {_FINISHED}) AS pressure_count, {AS_OF} AS updated_at
+  FROM (SELECT *, date_diff('millisecond', started_at, finished_at) AS took, date_diff('millisecond', enqueued_at, started_at) AS waited
+        FROM folded) GROUP BY 1, 2""", valid=_VALID, folded=_fold_sql("valid")))
+def rollup_by_deltas(spark, sf):
+    """Statistics of the first half of the messages, brought up to date by what the second half changes."""
+    stored, fresh = _two_halves(spark, sf)
+    runs, hours = shared_dir(spark, "runs"), shared_dir(spark, "hours")
+    tables.write_runs(stored, runs, versioned=True)
+    tables.write_rollup(hourly_rollup(tables.read_table(spark, runs), fx.AS_OF), hours, versioned=True)
+    changes = tables.upsert_table(runs, fresh, images=True)
+    deltas.maintain(spark, hours, changes, tables.read_table(spark, runs), fx.AS_OF)
+    return tables.read_table(spark, hours).drop("bucket_date")
+
+
+@query(FOLD_CHECK)
+def upsert_versioned_table(spark, sf):
+    """Both halves upserted into a table that is replaced atomically."""
+    path = shared_dir(spark, "runs")
+    first, second = _two_halves(spark, sf)
+    tables.write_runs(first, path, versioned=True)
+    tables.upsert_table(path, second)
+    Versioned(spark, path).vacuum()
+    return folded_columns(tables.read_table(spark, path))
+
+
 @query(check(f"SELECT {_ID} AS id, status, op FROM after WHERE op <> 'keep'", **_UPSERT))
 def upsert_changed_rows(spark, sf):
     changes = up.upsert_changes(*_two_halves(spark, sf))
@@ -225,6 +265,12 @@ BUFFERED_CHECK = check(f"""
   FROM attached WHERE job_run_id IS NULL""", lines=_LINES, attached=_ATTACHED)
 
 
+LOST_CHECK = check("""
+  SELECT queue, job_id, job_timestamp, log_timestamp, log_seq, level, message FROM attached WHERE job_run_id IS NULL""",
+                   lines=_LINES, attached=_ATTACHED)
+DRAINED_CHECK = check("SELECT 'stored' AS place, COUNT(*) AS lines FROM lines WHERE copy_no = 1", lines=_LINES)
+
+
 def _lines(spark, sf) -> DataFrame:
     events = valid_rows(parse_log_messages(fx.log_messages(spark, sf)))
     return lg.first_of_each(events, lg.BUFFER_KEY, "seq")

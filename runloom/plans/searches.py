@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from runloom.functions.text import strip_ansi, tags_text as tags_as_text
 from runloom.functions.time import created_boundary_column, epoch_ms
-from runloom.operators import logs as lg, search as js, tags as tg
+from runloom.operators import logs as lg, search as js, tags as tg, trigrams
 from runloom.plans import fixture as fx
 from runloom.plans.checks import AS_OF, check
 from runloom.plans.registry import query
+from runloom.session import shared_dir
+from runloom.sources import tables
 
 _MIDDLE = datetime(2024, 1, 15, 12)
 _LIST = """id, job_id, queue, name, status, attempt, max_attempts, created_at, enqueued_at, started_at, finished_at,
@@ -92,6 +94,78 @@ def jobs_search_wildcards(spark, sf):
     return _listed(js.filter_runs(fx.job_runs(spark, sf), search="b__m%3"))
 
 
+_DETAIL = """id, job_id, queue, name, status, attempt, max_attempts, priority, delay_ms, backoff, repeat_job_key,
+    parent_job_id, worker_id, array_to_string(tags, ',') AS tags, data, result, error_message, error_stack,
+    epoch_ms(created_at) AS created_at, epoch_ms(enqueued_at) AS enqueued_at, epoch_ms(started_at) AS started_at,
+    epoch_ms(finished_at) AS finished_at, duration_ms"""
+
+
+def _stored_runs(spark, sf) -> str:
+    path = shared_dir(spark, "runs")
+    tables.write_runs(fx.job_runs(spark, sf), path, versioned=True)
+    return path
+
+
+_TEXTS = ["name", "queue", "job_id", "error_message"]
+
+
+@query(check(f"""
+  SELECT {_LIST} FROM runs WHERE name ILIKE '%Oom 12%' OR queue ILIKE '%Oom 12%' OR job_id ILIKE '%Oom 12%'
+    OR error_message ILIKE '%Oom 12%'"""))
+def jobs_search_indexed(spark, sf):
+    """Text search that opens only the files which have all trigrams of the text."""
+    path, index = _stored_runs(spark, sf), shared_dir(spark, "trigrams")
+    trigrams.write_postings(tables.read_table(spark, path), _TEXTS, index)
+    return _listed(trigrams.search(spark, path, index, _TEXTS, "Oom 12"))
+
+
+@query(check("SELECT id, level, message FROM logs WHERE message ILIKE '%job 77% failed%'"))
+def logs_search_indexed(spark, sf):
+    """Log search over an index that lags: one half of the lines was written after it."""
+    path, index = shared_dir(spark, "logs"), shared_dir(spark, "trigrams")
+    logs = fx.job_logs(spark, sf)
+    early = F.dayofmonth("ts") <= 15
+    tables.write_logs(logs.filter(early), path, versioned=True)
+    trigrams.write_postings(tables.read_table(spark, path), ["message"], index)
+    tables.write_logs(logs.filter(~early), path)
+    return trigrams.search(spark, path, index, ["message"], "job 77% failed").select("id", "level", "message")
+
+
+@query(_page_check("true", "created_at DESC, job_id DESC, id DESC", 50))
+def jobs_page_stored(spark, sf):
+    """The first page of a stored table, looked for in its newest dates."""
+    path = _stored_runs(spark, sf)
+    page = js.stored_page(tables.read_table(spark, path), tables.dates_of(spark, path, "created_date"), limit=50)
+    return _flat(page.drop("next_cursor", "prev_cursor"))
+
+
+@query(_page_check(f"(created_at, job_id, id) > ({_AT}, '', '')", "created_at, job_id, id", 20, reverse=True))
+def jobs_page_stored_prev(spark, sf):
+    path = _stored_runs(spark, sf)
+    stored, dates = tables.read_table(spark, path), tables.dates_of(spark, path, "created_date")
+    return _flat(js.stored_page(stored, dates, _CURSOR, cursor_direction="prev").drop("next_cursor", "prev_cursor"))
+
+
+@query(check(f"SELECT {_DETAIL} FROM runs WHERE job_id = '77'"))
+def job_detail_stored(spark, sf):
+    """One run of a stored table, found by its id and creation time."""
+    stored = tables.read_table(spark, _stored_runs(spark, sf))
+    wanted = fx.job_runs(spark, sf).filter("job_id = '77'").select("id", "created_at")
+    return _flat(js.job_detail(stored, wanted))
+
+
+@query(check("""
+  SELECT id, job_run_id, level, message, epoch_ms(ts) AS ts, log_seq, CAST(n AS INTEGER) AS position
+  FROM (SELECT *, row_number() OVER (ORDER BY ts, log_seq, id) AS n FROM one) WHERE n > 300 AND n <= 400""",
+             one="SELECT l.id, 'all' AS job_run_id, level, message, l.ts, log_seq FROM logs l"))
+def logs_deep_offset(spark, sf):
+    """A page deep in the log of a run that never ends, looked up in the counts per hour."""
+    path = shared_dir(spark, "logs")
+    tables.write_logs(fx.job_logs(spark, sf).withColumn("job_run_id", F.lit("all")), path, versioned=True)
+    stored = tables.read_table(spark, path)
+    return lg.stored_logs_page(stored, lg.line_counts(stored), "all", limit=100, offset=300)
+
+
 @query(check(f"SELECT {_LIST} FROM runs WHERE list_has_any(tags, ['signup', 'seg3'])"))
 def jobs_by_tags(spark, sf):
     return _listed(js.filter_runs(fx.job_runs(spark, sf), tags=["signup", "seg3"]))
@@ -105,12 +179,6 @@ def jobs_created_range(spark, sf):
                                   created_to="2024-01-10T12:30"))
 
 
-_DETAIL = """id, job_id, queue, name, status, attempt, max_attempts, priority, delay_ms, backoff, repeat_job_key,
-    parent_job_id, worker_id, array_to_string(tags, ',') AS tags, data, result, error_message, error_stack,
-    epoch_ms(created_at) AS created_at, epoch_ms(enqueued_at) AS enqueued_at, epoch_ms(started_at) AS started_at,
-    epoch_ms(finished_at) AS finished_at, duration_ms"""
-
-
 @query(check(f"SELECT {_DETAIL} FROM runs WHERE status = 'failed'"))
 def job_detail(spark, sf):
     runs = fx.job_runs(spark, sf)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runloom.plans import fixture as fx
 from runloom.plans.checks import check
-from runloom.plans.ingestion import BUFFERED_CHECK, FOLD_CHECK, RESOLVED_CHECK, folded_columns
+from runloom.plans.ingestion import (
+    BUFFERED_CHECK, DRAINED_CHECK, FOLD_CHECK, LOST_CHECK, RESOLVED_CHECK, STATUS_CHECK, folded_columns,
+)
 from runloom.plans.registry import query
 from runloom.session import configure, shared_dir
-from runloom.sources.messages import parse_log_messages, valid_rows
+from runloom.sources.messages import parse_job_messages, parse_log_messages, valid_rows
 from runloom.sources.streams import file_messages, table_stream
 from runloom.sources.tables import read_table, write_batch
-from runloom.streaming import ingest, windows
+from runloom.streaming import ingest, resolve, state, windows
 
 
 def _jobs(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,7 +28,8 @@ def _jobs(spark: SparkSession, sf: str) -> DataFrame:
 def stream_fold(spark, sf):
     messages = fx.messages_of(_jobs(spark, sf)).drop("batch_id")
     path = shared_dir(spark, "fold")
-    ingest.ingest_jobs(messages, path, f"{path}/checkpoint", fx.AS_OF).awaitTermination()
+    tasks = spark.sparkContext.defaultParallelism
+    ingest.ingest_jobs(messages, path, f"{path}/checkpoint", fx.AS_OF, partitions=tasks).awaitTermination()
     return folded_columns(ingest.current_runs(spark, path))
 
 
@@ -45,6 +50,93 @@ def stream_fold_batches(spark, sf):
     return folded_columns(read_table(spark, f"{path}/runs"))
 
 
+@query(FOLD_CHECK)
+def stream_state_machine(spark, sf):
+    """Four micro-batches through a state of its own for every run, merged into the stored table."""
+    path = shared_dir(spark, "machine")
+    _in_four_files(fx.job_messages(spark, sf), f"{path}/in")
+    events = valid_rows(parse_job_messages(file_messages(spark, f"{path}/in", format="parquet", max_files=1)))
+    state.read_through(state.ingest_states(events, f"{path}/runs", path, f"{path}/checkpoint", keep=timedelta(days=30)))
+    return folded_columns(read_table(spark, f"{path}/runs"))
+
+
+@query(STATUS_CHECK)
+def stream_upsert_feed(spark, sf):
+    """The last notice of every run that ingestion has changed, at most one a second each."""
+    path = shared_dir(spark, "feed")
+    _in_four_files(fx.job_messages(spark, sf), f"{path}/in")
+    messages = file_messages(spark, f"{path}/in", format="parquet", max_files=1)
+    ingest.ingest_jobs(messages, path, f"{path}/checkpoint", fx.AS_OF, table=f"{path}/runs").awaitTermination()
+    state.read_through(state.upsert_feed(spark, path, f"{path}/feed", f"{path}/feed-checkpoint", max_files=8), quiet=4)
+    return windows.newest(spark, f"{path}/feed", ["kind", "id"]).select("id", "status")
+
+
+def _joined_logs(spark, sf) -> str:
+    """Lines and runs as two streams of files, by the time of their jobs; half of the runs come a file late."""
+    path = shared_dir(spark, "joined")
+    lines = valid_rows(parse_log_messages(fx.log_messages(spark, sf)))
+    runs = fx.job_runs(spark, sf).select("queue", "job_id", "enqueued_at", "id")
+    part = lambda moment: F.floor(F.dayofmonth(moment) / 8)
+    late = F.pmod(F.crc32("job_id"), F.lit(2))
+    # What comes last says how far time has got: nothing earlier is to be expected.
+    end = F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")
+    for k in range(6):
+        some, known = lines.filter(part("job_timestamp") == k), runs.filter(part("enqueued_at") + late == k)
+        if k == 5:
+            some = lines.limit(1).withColumns({"job_timestamp": end, "job_id": F.lit("end")})
+            known = runs.limit(1).withColumns({"enqueued_at": end, "job_id": F.lit("no line")})
+        some.coalesce(1).write.mode("append").parquet(f"{path}/lines")
+        known.coalesce(1).write.mode("append").parquet(f"{path}/runs")
+
+    def stream(name: str, like: DataFrame) -> DataFrame:
+        return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/{name}")
+
+    resolve.ingest_resolved(stream("lines", lines), stream("runs", runs), path, f"{path}/checkpoint", "17 days").awaitTermination()
+    return path
+
+
+@query(RESOLVED_CHECK)
+def stream_logs_joined(spark, sf):
+    """Lines that have met their run in a join of two streams, whichever came first."""
+    return spark.read.parquet(f"{_joined_logs(spark, sf)}/logs").drop("batch_id")
+
+
+@query(LOST_CHECK)
+def stream_logs_expired(spark, sf):
+    """Lines whose run never came, each once."""
+    return spark.read.parquet(f"{_joined_logs(spark, sf)}/unresolved").drop("batch_id")
+
+
+@query(DRAINED_CHECK)
+def buffer_drained_empty(spark, sf):
+    """A buffer whose lines all find their run at last: nothing waits, everything is stored."""
+    path = shared_dir(spark, "logs")
+    messages = fx.log_messages_of(_jobs(spark, sf)).drop("batch_id")
+    runs = fx.job_runs(spark, sf)
+    lost = runs.withColumn("job_id", F.concat(F.lit("lost-"), "job_id")).withColumn("id", F.concat(F.lit("lost-"), "id"))
+    ingest.ingest_logs(messages, lambda: runs.limit(0), path, f"{path}/checkpoint", fx.AS_OF).awaitTermination()
+    ingest.drain_buffer(spark, path, runs.union(lost))
+    ingest.drain_buffer(spark, path, runs)
+    waiting = ingest.current_buffer(spark, path).select(F.lit("waiting").alias("place"))
+    stored = ingest.current_logs(spark, path).select(F.lit("stored").alias("place"))
+    return waiting.union(stored).groupBy("place").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(RESOLVED_CHECK)
+def drain_then_ingest(spark, sf):
+    """Drains between runs of the ingestion, which goes on with the buffer as the drain has left it."""
+    path = shared_dir(spark, "logs")
+    messages, runs = fx.log_messages(spark, sf), fx.job_runs(spark, sf)
+    for k in range(2):
+        half = messages.filter(F.floor(F.col("batch_id") / 8) == k).select("seq", "payload")
+        half.coalesce(2).write.mode("append").parquet(f"{path}/in")
+        source = file_messages(spark, f"{path}/in", format="parquet", max_files=1)
+        known = runs.filter(F.crc32("job_id") % 2 == 0)
+        ingest.ingest_logs(source, lambda known=known: known, path, f"{path}/checkpoint", fx.AS_OF).awaitTermination()
+        ingest.drain_buffer(spark, path, runs)
+    return ingest.current_logs(spark, path)
+
+
 @query(RESOLVED_CHECK)
 def stream_buffer_drained(spark, sf):
     """Lines that came before their runs, moved to the logs by a drain afterwards."""

@@ -295,6 +295,39 @@ def retention_runs_stored(spark, sf):
     return tables.read_table(spark, path).select("id", "created_at")
 
 
+@query(check(f"""
+  SELECT 'run' AS kind, id FROM runs WHERE created_at >= {_CUT}
+  UNION ALL SELECT 'line', logs.id FROM logs JOIN runs ON runs.id = job_run_id WHERE created_at >= {_CUT}"""))
+def retention_logs_stored(spark, sf):
+    """Old runs deleted from stored tables, their log lines with them, in one step for each table."""
+    runs, logs = shared_dir(spark, "runs"), shared_dir(spark, "logs")
+    tables.write_runs(fx.job_runs(spark, sf), runs, versioned=True)
+    tables.write_logs(fx.job_logs(spark, sf), logs, versioned=True)
+    tables.delete_runs_before(spark, runs, logs, fx.AS_OF - _KEEP)
+    kept = tables.read_table(spark, runs).select(F.lit("run").alias("kind"), "id")
+    return kept.union(tables.read_table(spark, logs).select(F.lit("line"), "id"))
+
+
+@query(check(f"SELECT * FROM rollup WHERE bucket_start >= {_CUT}"))
+def retention_rollups_stored(spark, sf):
+    """Old hours deleted from a stored table: earlier dates leave its list, the boundary date is cut."""
+    path = shared_dir(spark, "hours")
+    tables.write_rollup(hourly_rollup(fx.job_runs(spark, sf), fx.AS_OF), path, versioned=True)
+    tables.delete_before(spark, path, "bucket_date", "bucket_start", fx.AS_OF - _KEEP)
+    return tables.read_table(spark, path).drop("bucket_date")
+
+
+@query(check(f"""
+  SELECT tag, last_seen_at FROM (SELECT tag, MAX(created_at) AS last_seen_at FROM (SELECT unnest(tags) AS tag, created_at FROM runs)
+    GROUP BY tag) WHERE last_seen_at >= {_CUT}"""))
+def retention_tags_stored(spark, sf):
+    """Tags not seen for long deleted from the stored catalogue."""
+    path = shared_dir(spark, "tags")
+    tables.write_tags(tg.tag_catalogue(fx.job_runs(spark, sf), fx.AS_OF), path)
+    tables.delete_tags_before(spark, path, fx.AS_OF - _KEEP)
+    return tables.read_table(spark, path).select("tag", "last_seen_at")
+
+
 @query(check("SELECT id, job_run_id, level, message, ts, log_seq FROM logs"))
 def logs_stored_twice(spark, sf):
     """Log lines written, and written again as after a failure."""

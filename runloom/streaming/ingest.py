@@ -28,7 +28,8 @@ from runloom.operators.upsert import (
 from runloom.schemas import BUFFER_KEY
 from runloom.session import shared_dir, spread
 from runloom.sources.messages import parse_job_messages, parse_log_messages, rejected_rows, valid_rows
-from runloom.sources.tables import BATCH, delete, upsert_table, write_batch
+from runloom.sources.tables import BATCH, delete, exists, upsert_table, write_batch
+from runloom.sources.versions import Versioned
 
 
 def _start(stream: DataFrame, handle, checkpoint: str, once: bool) -> StreamingQuery:
@@ -49,10 +50,10 @@ def ingest_jobs(
 ) -> StreamingQuery:
     """Fold a stream of job messages into states under ``path/states``.
 
-    Refused messages go to ``path/rejects``. With ``table`` each batch is also
-    merged into that runs table, of which only the dates of the batch are read,
-    and what it changed goes to ``path/changes``; then the work of a batch does
-    not grow with what was stored before. ``partitions`` deals each batch over so
+    Refused messages go to ``path/rejects``. With ``table`` each batch is merged
+    into that runs table instead, of which only the dates of the batch are read,
+    and what it changed goes to ``path/changes``; then neither the work of a batch
+    nor what is kept beside the table grows with what was stored before. ``partitions`` deals each batch over so
     many tasks.
     """
 
@@ -68,7 +69,8 @@ def ingest_jobs(
             if table is not None:
                 changes = upsert_table(table, runs_of_states(states))
                 write_batch(change_feed(changes), f"{path}/changes", batch_id)
-            write_batch(states, f"{path}/states", batch_id)
+            else:
+                write_batch(states, f"{path}/states", batch_id)
             write_batch(rejected_rows(parsed), f"{path}/rejects", batch_id)
         finally:
             parsed.unpersist()
@@ -121,7 +123,8 @@ def ingest_logs(
         try:
             attached.persist()
             write_batch(lines.resolved(attached), f"{path}/logs", batch_id)
-            write_batch(lines.unresolved(attached, as_of), f"{path}/buffer", batch_id)
+            waiting = lines.unresolved(attached, as_of).withColumn(BATCH, F.lit(batch_id))
+            _buffer(batch.sparkSession, path).replace(waiting, [str(batch_id)])
             write_batch(rejected_rows(parsed), f"{path}/rejects", batch_id)
         finally:
             attached.unpersist()
@@ -136,28 +139,42 @@ def current_logs(spark: SparkSession, path: str) -> DataFrame:
     return lines.first_of_each(stored, lines.LOG_KEY, BATCH).select(*lines.LOG_COLUMNS)
 
 
-def drain_buffer(spark: SparkSession, path: str, runs: DataFrame, batch_id: int) -> None:
-    """Move waiting lines whose run has arrived to the logs, under a batch number of the drain's own.
+def _buffer(spark: SparkSession, path: str) -> Versioned:
+    return Versioned(spark, f"{path}/buffer", BATCH)
 
-    Lines are written before the buffer is cut down to the rest, and both steps
-    can be repeated. No ingestion may write to ``path`` meanwhile.
+
+def drain_buffer(spark: SparkSession, path: str, runs: DataFrame, batch_id: int | None = None) -> None:
+    """Move waiting lines whose run has arrived to the logs.
+
+    Lines are written before the buffer is cut down to the rest, which happens
+    in one step; a drain that stopped in between is repeated and writes the same
+    lines again, which reading drops by identity. Ingestion may go on meanwhile:
+    its batches are partitions of the buffer that this drain has not seen and
+    leaves alone.
+
+    The lines go under a number of the drain's own: a negative one made from the
+    version of the buffer, or ``batch_id``, which must not be taken.
     """
-    waiting = current_buffer(spark, path)
+    buffer = _buffer(spark, path)
+    seen = buffer.current()
+    if seen is None:
+        return
+    number = -1 - seen.number if batch_id is None else batch_id
+    if batch_id is not None and exists(spark, f"{path}/logs/{BATCH}={batch_id}"):
+        raise ValueError(f"batch {batch_id} is stored already")
     staged = shared_dir(spark, "buffer")
-    attached = lines.attach_runs(waiting, runs)
-    attached.write.parquet(staged)
+    waiting = buffer.read(at=seen)
+    lines.attach_runs(waiting, runs).write.parquet(staged)
     attached = spark.read.parquet(staged)
-    write_batch(lines.resolved(attached), f"{path}/logs", batch_id)
-    rest = attached.filter(F.col("job_run_id").isNull()).select(*waiting.columns)
-    rest = rest.withColumn(BATCH, F.lit(batch_id))
-    rest.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BATCH).parquet(f"{path}/buffer")
+    write_batch(lines.resolved(lines.first_of_each(attached, BUFFER_KEY, BATCH)), f"{path}/logs", number)
+    rest = attached.filter(F.col("job_run_id").isNull()).select(*seen.schema.names)
+    buffer.replace(rest, list(seen.folders), seen=seen)
     delete(spark, staged)
 
 
 def current_buffer(spark: SparkSession, path: str) -> DataFrame:
     """Waiting lines, each identity once."""
-    waiting = spark.read.parquet(f"{path}/buffer")
-    return lines.first_of_each(waiting, BUFFER_KEY, BATCH).drop(BATCH)
+    return lines.first_of_each(_buffer(spark, path).read(), BUFFER_KEY, BATCH).drop(BATCH)
 
 
 def distinct_lines(events: DataFrame, late_by: str) -> DataFrame:
@@ -167,5 +184,3 @@ def distinct_lines(events: DataFrame, late_by: str) -> DataFrame:
     """
     timed = events.withColumn("event_time", F.col("log_timestamp").cast("timestamp"))
     return timed.withWatermark("event_time", late_by).dropDuplicatesWithinWatermark(BUFFER_KEY)
-
-
