@@ -43,13 +43,18 @@ def _named(rows: DataFrame, keep: list[str], key: str, bin_of=F.xxhash64) -> Dat
 
 
 def identities(docs: DataFrame, size: int = BLOCK, bin_of=F.xxhash64) -> DataFrame:
-    """(doc_id, n_chars, blocks, h, r): what documents of the same content agree in but for doc_id and n_chars."""
+    """(doc_id, n_chars, text_sha256, blocks, h, r): what documents of the same content agree in but for doc_id and n_chars.
+
+    The digest only tells the texts of one id apart on their way; texts are equal
+    when their names are.
+    """
     content = normalised("text")
     n = F.greatest(F.lit(1), F.ceil(F.length(content) / size)).cast("int")
     at = F.posexplode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.substring("content", i * size + 1, F.lit(size))))
+    own = ["doc_id", "n_chars", "text_sha256", "blocks"]
     rows = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), n.alias("blocks"), content.alias("content"))
-    rows = rows.select("doc_id", "n_chars", "blocks", at.alias("i", "key"))
-    keep = ["doc_id", "n_chars", "blocks", "i"]
+    rows = rows.withColumn("text_sha256", F.sha2("content", 256)).select(*own, at.alias("i", "key"))
+    keep = [*own, "i"]
     level = staged(_named(rows, keep, "key", bin_of), "names")
     done = [level.filter("blocks = 1")]
     longest = level.agg(F.max("blocks")).first()[0] or 1
@@ -57,7 +62,7 @@ def identities(docs: DataFrame, size: int = BLOCK, bin_of=F.xxhash64) -> DataFra
     while width < longest:
         width *= 2
         left = F.col("i") % 2 == 0
-        pairs = level.filter(F.col("blocks") > width // 2).groupBy("doc_id", "n_chars", "blocks", F.floor(F.col("i") / 2).cast("int").alias("i")).agg(
+        pairs = level.filter(F.col("blocks") > width // 2).groupBy(*own, F.floor(F.col("i") / 2).cast("int").alias("i")).agg(
             *[F.max(F.when(side, F.col(c))).alias(f"{s}{c}") for s, side in (("l", left), ("r", ~left)) for c in ("h", "r")]
         )
         pairs = pairs.select(*keep, F.struct("lh", "lr", F.coalesce("rh", F.lit(0)).alias("rh"), F.coalesce("rr", F.lit(-1)).alias("rr")).alias("key"))
@@ -70,14 +75,15 @@ def identities(docs: DataFrame, size: int = BLOCK, bin_of=F.xxhash64) -> DataFra
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical without white space; null counts as
     empty, and empty and blank texts equal one another. Of equal texts the one
-    with the most code points stays, then the one with the smallest id. A row
-    that repeats an id with the same text counts once; rows that give an id
-    several texts count as so many documents. Rows without an id are left out,
-    and an empty table gives an empty one.
+    with the most code points stays, then the one with the smallest id.
+    ``text_sha256`` is that of the text without white space, in UTF-8. A row that
+    repeats an id with the same text counts once and gives one row; rows that
+    give an id several texts count as so many documents. Rows without an id are
+    left out, and an empty table gives an empty one.
     """
     same = ["blocks", "h", "r"]
     roots = staged(identities(documents(docs, id_col, text_col), size).distinct(), "roots")
@@ -85,5 +91,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = staged(roots.groupBy(*same).agg(first.alias("first"), F.count("*").alias("group_size")), "groups")
     return roots.join(groups, same).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
-        ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("n_chars") == -F.col("first.n"))).alias("kept"),
+        ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("n_chars") == -F.col("first.n"))).alias("kept"), "text_sha256",
     )

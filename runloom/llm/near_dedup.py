@@ -11,10 +11,14 @@ are dropped, and the rest is confirmed on the full sets.
 
 Documents with the same set form a class and are represented by its smallest
 id. Within a bucket no all-pairs join runs: members are compared with one centre,
-then with a few, then with more, and each time only where the bucket still holds
-more than one component, so a bucket of many near copies costs its size. The
-last round compares what is left between the components of a bucket, each pair in
-the first bucket it shares, so no link that could join two components is lost.
+then with a few, and each time only where the bucket still holds more than one
+component, so a bucket of many near copies costs its size. Buckets that are open
+after that hold documents which are much alike and yet not linked, such as pages
+of one template. Their members are joined on the rarest shingles of their full
+sets, as many as a link needs one of: of n shingles of the larger document
+n - ceil(t n) + 1, of the smaller one n - ceil(2 t n / (1 + t)) + 1. What all
+pages of a template share is frequent and so in no prefix; a pair comes up only
+where it may be linked, and no link that could join two components is lost.
 """
 
 from __future__ import annotations
@@ -36,8 +40,10 @@ SHINGLE = 5
 BANDS, ROWS = 48, 5
 # Samples and bits of an odd sketch. At the threshold its estimate spreads by 0.016.
 SAMPLES, SKETCH = 1024, 2048
-# Centres of a bucket in each round; None is every pair of components that is left.
-ROUNDS = (1, 16, None)
+# Centres of a bucket in each round; None is the join on rare shingles of what is left.
+ROUNDS = (1, 4, None)
+# Counters that say how frequent a shingle is among the members of open buckets; they order shingles and decide nothing.
+COUNTERS = 1 << 20
 _KINDS = "doc_id long, n long, set_id binary, bands array<long>"
 
 
@@ -158,43 +164,95 @@ def _confirm(percent: int):
     return confirmed
 
 
-def _pairs(members: DataFrame, sketches: DataFrame, centres: int | None, percent: int) -> DataFrame:
-    """Pairs to confirm: in every bucket of several components, centres with members of others.
-
-    Sizes and sketches are judged inside the join, so that pairs which cannot be
-    linked never become rows.
-    """
+def _open_members(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components."""
     of_bucket = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_ones = staged(of_bucket.filter("low < high").select("bucket"), "open")
-    members = members.join(open_ones, "bucket", "left_semi")
-    if centres is not None:
-        slot = F.pmod(F.xxhash64("doc_id", "bucket"), F.lit(centres))
-        chosen = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("doc_id", "n", "component")).alias("c"))
-        chosen = chosen.select("bucket", "c.*")
-    columns = ["doc_id", "n", "component", "sketch"]
-    if centres is None:
-        # Every member is a centre here, so a pair would come up in each bucket that it shares.
-        at = F.array_position("bands", F.col("bucket")).cast("int")
-        members = members.join(sketches, "doc_id").filter(at > 0).withColumn("earlier", F.slice("bands", F.lit(1), at - 1))
-        chosen, columns = members, [*columns, "earlier"]
-    else:
-        members, chosen = (rows.join(sketches, "doc_id") for rows in (members, chosen))
-    members = members.select("bucket", *columns)
-    chosen = staged(chosen.select("bucket", *[F.col(c).alias(f"c_{c}") for c in columns]), "centres")
+    return members.join(open_ones, "bucket", "left_semi")
+
+
+def _judged(percent: int):
+    """Whether sizes and sketches of two documents allow a link; evaluated inside the join, so that others never become rows."""
     near = 100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")
     differing = sum(
         (F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("c_sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
-    fit = (F.col("component") != F.col("c_component")) & near & (differing <= most_differing(percent))
-    if centres is None:
-        fit = fit & (F.col("c_doc_id") < F.col("doc_id")) & ~F.arrays_overlap("earlier", "c_earlier")
-    chosen = chosen.withColumnRenamed("bucket", "c_bucket")
-    pairs = members.join(chosen, (F.col("bucket") == F.col("c_bucket")) & fit)
-    ends = F.least("doc_id", "c_doc_id").alias("a"), F.greatest("doc_id", "c_doc_id").alias("b")
-    return pairs.select(*ends).distinct()
+    return (F.col("component") != F.col("c_component")) & near & (differing <= most_differing(percent))
+
+
+def _ends() -> list:
+    return [F.least("doc_id", "c_doc_id").alias("a"), F.greatest("doc_id", "c_doc_id").alias("b")]
+
+
+def _pairs(members: DataFrame, sketches: DataFrame, centres: int, percent: int) -> DataFrame:
+    """Pairs to confirm: in every bucket of several components, centres with members of others."""
+    members = _open_members(members)
+    slot = F.pmod(F.xxhash64("doc_id", "bucket"), F.lit(centres))
+    chosen = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("doc_id", "n", "component")).alias("c"))
+    chosen = chosen.select("bucket", "c.*")
+    columns = ["doc_id", "n", "component", "sketch"]
+    members, chosen = (rows.join(sketches, "doc_id").select("bucket", *columns) for rows in (members, chosen))
+    chosen = staged(chosen.select(F.col("bucket").alias("c_bucket"), *[F.col(c).alias(f"c_{c}") for c in columns]), "centres")
+    return members.join(chosen, (F.col("bucket") == F.col("c_bucket")) & _judged(percent)).select(*_ends()).distinct()
+
+
+def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for part in tokens.slices(batch.column(0)):
+            for s in shingle_sets(part):
+                np.add.at(total, s & np.uint64(COUNTERS - 1), 1)
+    some = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(some, pa.int32()), pa.array(total[some])], names=["counter", "n"])
+
+
+def _rarest(counts, percent: int):
+    """(doc_id, shingle, last) of the shingles a link needs one of; ``last`` says whether also as the smaller document."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = counts.value
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            for part in tokens.slices(batch.column(1)):
+                owners, shingles, smaller = [], [], []
+                for k, s in enumerate(shingle_sets(part)):
+                    n = len(s)
+                    large, small = n + percent * n // -100 + 1, n + 2 * percent * n // -(100 + percent) + 1
+                    order = np.lexsort((s, total[s & np.uint64(COUNTERS - 1)]))[:large]
+                    owners.append(np.full(len(order), ids[part.row + k]))
+                    shingles.append(s[order])
+                    smaller.append(np.arange(len(order)) < small)
+                yield pa.record_batch([
+                    pa.array(np.concatenate(owners)), pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(smaller)),
+                ], names=["doc_id", "shingle", "last"])
+
+    return found
+
+
+def _rare_pairs(members: DataFrame, texts: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs to confirm among all that is left in open buckets, by the rarest shingles of the full sets."""
+    spark = members.sparkSession
+    left = staged(_open_members(members).select("doc_id", "n", "component").distinct(), "left")
+    texts = staged(texts.join(left.select("doc_id"), "doc_id", "left_semi"), "texts")
+    counts = texts.select("text").mapInArrow(_count_shingles, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    found = counts.toPandas()  # one row per counter
+    total = np.zeros(COUNTERS, np.int64)
+    total[found["counter"].to_numpy()] = found["n"].to_numpy()
+    sent = spark.sparkContext.broadcast(total)
+    rare = texts.select("doc_id", "text").mapInArrow(_rarest(sent, percent), "doc_id long, shingle long, last boolean").distinct()
+    rare = staged(rare.join(left, "doc_id"), "rare", free=True)
+    sent.destroy()
+    # A shingle of one component brings no two together.
+    shared = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    rare = staged(rare.join(staged(shared.select("shingle"), "shared"), "shingle", "left_semi").join(
+        sketches.select("doc_id", "sketch"), "doc_id"), "prefixes", free=True)
+    small = rare.filter("last").select(*[F.col(c).alias(f"c_{c}") for c in ("shingle", "doc_id", "n", "component", "sketch")])
+    larger = (F.col("c_n") < F.col("n")) | ((F.col("c_n") == F.col("n")) & (F.col("c_doc_id") < F.col("doc_id")))
+    pairs = rare.join(small, (F.col("shingle") == F.col("c_shingle")) & larger & _judged(percent))
+    return pairs.select(*_ends()).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, set_size_of_class.
+    """One row per document: doc_id, n_shingles, component_id, kept, class_size.
 
     Documents are linked whose sets have at least ``percent`` hundredths of
     their union in common; ``component_id`` is the smallest id that links reach
@@ -219,7 +277,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     wanted = staged(members.select("doc_id").distinct(), "wanted")
     texts = staged(docs.join(wanted, "doc_id", "left_semi"), "texts", free=True)
     sketched = texts.mapInArrow(odd_sketches, "doc_id long, set_id binary, sketch array<long>")
-    sketches = staged(sketched.join(reps.select("doc_id", "set_id", "bands"), ["doc_id", "set_id"]).drop("set_id"), "sketches")
+    sketches = staged(sketched.join(reps.select("doc_id", "set_id"), ["doc_id", "set_id"]).drop("set_id"), "sketches")
     discard(wanted, reps)
 
     labels, links = None, None
@@ -227,7 +285,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         labelled = members.withColumn("component", F.col("doc_id")) if labels is None else members.join(
             labels.withColumnRenamed("vertex", "doc_id"), "doc_id", "left"
         ).withColumn("component", F.coalesce("component", "doc_id"))
-        likely = staged(_pairs(labelled, sketches, centres, percent), "pairs", free=True)
+        found = _rare_pairs(labelled, texts, sketches, percent) if centres is None else _pairs(labelled, sketches, centres, percent)
+        likely = staged(found, "pairs", free=True)
         if likely.isEmpty():
             continue
         both = likely

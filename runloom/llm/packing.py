@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from runloom.llm.encoding import Encoder, default_tokenizer, documents_of
 from runloom.llm.stage import documents, staged
@@ -223,9 +223,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     rows = staged(rows if with_ids else rows.drop("ids"), "pieces", free=True)
     # One row for each length, so at most ``capacity`` rows.
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slim = numbered(rows.drop("ids"), "length", ["doc_id", "piece"])
-    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    placed = slim.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(complete_bins(histogram, capacity)), kinds)
-    if not with_ids:
-        return placed
-    return placed.join(rows.select("doc_id", "piece", "ids").dropDuplicates(["doc_id", "piece"]), ["doc_id", "piece"])
+    # Ids stay on their row, so that rows of one id cannot be mistaken for one another.
+    columns = [c for c in rows.columns if with_ids or c != "ids"]
+    kinds = T.StructType([*rows.select(*columns).schema.fields, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset"))])
+    ranked = numbered(rows.select(*columns), "length", ["doc_id", "piece"]).select(*columns, "rank")
+    placed = ranked.mapInArrow(_place(complete_bins(histogram, capacity)), kinds)
+    return placed.select(*[c for c in columns if c != "ids"], "sequence_id", "offset", *(["ids"] if with_ids else []))

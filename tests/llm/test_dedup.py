@@ -1,5 +1,6 @@
 """Exact, line, substring and near duplicates against brute force, and the odd cases."""
 
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -163,3 +164,37 @@ def test_all_tasks_share_the_key_of_the_driver(spark):
 
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
     assert docs.mapInArrow(hashed, "h long").distinct().count() == len(set(" ".join(texts).split(" ")))
+
+
+def test_pages_of_one_template_are_not_compared_with_one_another(spark, monkeypatch):
+    """Documents that share 0.70 of their shingles with every other: pairs to confirm grow with the documents."""
+    staged, template, pairs = near_dedup.staged, [f"t{k}" for k in range(300)], {}
+
+    def watched(df, purpose, free=False):
+        table = staged(df, purpose, free)
+        if purpose == "pairs":
+            rounds.append(table.count())
+        return table
+
+    monkeypatch.setattr(near_dedup, "staged", watched)
+    for size in (300, 900):
+        rounds = []
+        # A block of own words in the middle: 300 + 56 words, of whose shingles 292 are shared by all.
+        documents = [(k, " ".join([*template[:150], *[f"own{k}x{j}" for j in range(56)], *template[150:]])) for k in range(size)]
+        documents += [(5000 + k, documents[k][1] + " and one more") for k in range(20)]
+        found = near_dedup.near_duplicates(spark.createDataFrame(documents, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.component_id for r in found if r.doc_id >= 5000} == {5000 + k: k for k in range(20)}
+        assert sum(r.kept for r in found) == size
+        # What the centres leave open is all pairs of the template, of which the last round makes none.
+        assert rounds[-1] < size
+        pairs[size] = sum(rounds)
+    assert pairs[900] < 4 * pairs[300]
+
+
+def test_rows_that_repeat_an_id(spark):
+    rows = [(1, "same"), (1, "same"), (1, "sa me"), (1, "othe"), (2, "same"), (3, "x" * 5000), (3, "y" * 5000), (4, "x" * 5000)]
+    found = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    expected = [(1, 1, 3, False, "same"), (1, 1, 3, True, "same"), (2, 1, 3, False, "same"), (1, 1, 1, True, "othe"),
+                (3, 3, 2, True, "x" * 5000), (4, 3, 2, False, "x" * 5000), (3, 3, 1, True, "y" * 5000)]
+    assert sorted(map(tuple, found)) == sorted((*r[:4], digest(r[4])) for r in expected)
