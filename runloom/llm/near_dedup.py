@@ -43,7 +43,7 @@ SAMPLES, SKETCH = 1024, 2048
 # Centres of a bucket in each round; None is the join on rare shingles of what is left.
 ROUNDS = (1, 4, None)
 # Counters that say how frequent a shingle is among the members of open buckets; they order shingles and decide nothing.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 17
 _KINDS = "doc_id long, n long, set_id binary, bands array<long>"
 
 

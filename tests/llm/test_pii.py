@@ -131,3 +131,18 @@ def test_the_query_against_brute_force(spark, size):
         assert row.base_sha256 == hashlib.sha256(named.encode()).hexdigest()
         assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(s[1] == k for s in own) for k in range(4)]
         assert row.spans == ",".join(f"{pii.KINDS[k] if k < 9 else 'term'}:{a}:{b}" for a, k, b in every)
+
+
+def test_a_text_of_very_many_matches(spark):
+    import time
+
+    n = 20_000
+    text = " ".join(f"u{k % 977}@mail{k % 31}.org tel +49 30 12345{k % 90 + 10}" for k in range(n)) + " end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    (found,) = pii.sanitise(docs).collect()
+    # The square of the matches would take minutes.
+    assert time.monotonic() - start < 90
+    assert [text[s["start"] : s["end"]] for s in found["base"]] == [s["value"] for s in found["base"]]
+    assert len(found["base"]) == 2 * n
+    assert found["clean_text"] == " ".join(["[email] tel [phone]"] * n) + " end"
