@@ -41,7 +41,7 @@ BANDS, ROWS = 48, 5
 # Samples and bits of an odd sketch. At the threshold its estimate spreads by 0.016.
 SAMPLES, SKETCH = 1024, 2048
 # Centres of a bucket in each round; None is the join on rare shingles of what is left.
-ROUNDS = (1, 4, None)
+ROUNDS = (1, 16, None)
 # Counters that say how frequent a shingle is among the members of open buckets; they order shingles and decide nothing.
 COUNTERS = 1 << 17
 _KINDS = "doc_id long, n long, set_id binary, bands array<long>"
@@ -213,7 +213,7 @@ def _rarest(counts, percent: int):
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for part in tokens.slices(batch.column(1)):
-                owners, shingles, smaller = [], [], []
+                owners, shingles, smaller, places = [], [], [], []
                 for k, s in enumerate(shingle_sets(part)):
                     n = len(s)
                     large, small = n + percent * n // -100 + 1, n + 2 * percent * n // -(100 + percent) + 1
@@ -221,9 +221,11 @@ def _rarest(counts, percent: int):
                     owners.append(np.full(len(order), ids[part.row + k]))
                     shingles.append(s[order])
                     smaller.append(np.arange(len(order)) < small)
+                    places.append(np.arange(len(order)))
                 yield pa.record_batch([
                     pa.array(np.concatenate(owners)), pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(smaller)),
-                ], names=["doc_id", "shingle", "last"])
+                    pa.array(np.concatenate(places), pa.int32()),
+                ], names=["doc_id", "shingle", "last", "place"])
 
     return found
 
@@ -238,16 +240,23 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, sketches: DataFrame, perce
     total = np.zeros(COUNTERS, np.int64)
     total[found["counter"].to_numpy()] = found["n"].to_numpy()
     sent = spark.sparkContext.broadcast(total)
-    rare = texts.select("doc_id", "text").mapInArrow(_rarest(sent, percent), "doc_id long, shingle long, last boolean").distinct()
+    kinds = "doc_id long, shingle long, last boolean, place int"
+    rare = texts.select("doc_id", "text").mapInArrow(_rarest(sent, percent), kinds).distinct()
     rare = staged(rare.join(left, "doc_id"), "rare", free=True)
     sent.destroy()
     # A shingle of one component brings no two together.
     shared = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    rare = staged(rare.join(staged(shared.select("shingle"), "shared"), "shingle", "left_semi").join(
-        sketches.select("doc_id", "sketch"), "doc_id"), "prefixes", free=True)
-    small = rare.filter("last").select(*[F.col(c).alias(f"c_{c}") for c in ("shingle", "doc_id", "n", "component", "sketch")])
+    rare = rare.join(staged(shared.select("shingle"), "shared"), "shingle", "left_semi")
+    # All documents order shingles alike, so a pair comes up at the first one it shares.
+    own = rare.groupBy("doc_id", "n", "component").agg(F.array_sort(F.collect_list(F.struct("place", "shingle", "last"))).alias("own"))
+    own = staged(own.join(sketches.select("doc_id", "sketch"), "doc_id"), "prefixes", free=True)
+    rows = own.select("doc_id", "n", "component", "sketch", "own", F.posexplode("own").alias("at", "it"))
+    earlier = F.transform(F.slice("own", F.lit(1), F.col("at")), lambda x: x["shingle"])
+    rows = rows.select("doc_id", "n", "component", "sketch", "it.shingle", "it.last", earlier.alias("earlier"))
+    small = rows.filter("last").select(*[F.col(c).alias(f"c_{c}") for c in ("shingle", "doc_id", "n", "component", "sketch", "earlier")])
     larger = (F.col("c_n") < F.col("n")) | ((F.col("c_n") == F.col("n")) & (F.col("c_doc_id") < F.col("doc_id")))
-    pairs = rare.join(small, (F.col("shingle") == F.col("c_shingle")) & larger & _judged(percent))
+    first = ~F.arrays_overlap("earlier", "c_earlier")
+    pairs = rows.join(small, (F.col("shingle") == F.col("c_shingle")) & larger & _judged(percent) & first)
     return pairs.select(*_ends()).distinct()
 
 
