@@ -82,3 +82,18 @@ def test_timeline(spark):
         [(str(i), f"q1/{i}", "log", "m", T0 + timedelta(seconds=2), 0) for i in (1, 2, 3)], schemas.JOB_LOGS)
     got = {r.id: r.position_pct for r in lg.timeline(logs, known, T0 + timedelta(seconds=8)).collect()}
     assert got == {"1": 50.0, "2": 25.0, "3": 0.0}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_side_of_unbounded_size_is_collected(spark):
+    """Small files, as the tables here, may hold any number of lines; estimates of their size say nothing."""
+    events = spark.createDataFrame([line(1), line(2, "never"), line(3, message="copy")], LINES)
+    attached = lg.attach_runs(lg.first_of_each(events, lg.BUFFER_KEY, "seq"), runs(spark, [run("1")]))
+    stored, buffer = lg.resolved(attached), lg.unresolved(attached, T0)
+    drained = lg.drain(buffer, runs(spark, [run("never")]), T0)
+    for df, rows in ((stored, 1), (lg.not_yet_stored(stored, stored), 0), (lg.still_buffered(buffer, drained), 0)):
+        assert "Broadcast" not in plan_of(df)
+        assert df.count() == rows
