@@ -19,6 +19,9 @@ from runloom.session import configure, spread
 # The instant at which every registered question is asked.
 AS_OF = datetime(2024, 1, 31)
 
+# Events whose messages one task makes and one file holds.
+EVENTS_PER_TASK = 250_000
+
 _WAIT = "((event_id * 37) % 5000)"
 _RUN = "cast(floor(value * 100) as bigint)"
 
@@ -32,6 +35,16 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/events.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """Over how many files the messages of the events are dealt; only footers are read for it."""
+    return max(1, -(-_events(spark, sf_dir).count() // EVENTS_PER_TASK))
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Over how many tasks: all there are, and more where one would have too many events."""
+    return max(spark.sparkContext.defaultParallelism, parts(spark, sf_dir))
+
+
 def jobs_of(events: DataFrame) -> DataFrame:
     """The same base from a frame or stream of events."""
     base = events.selectExpr(
@@ -187,7 +200,7 @@ def messages_of(base: DataFrame) -> DataFrame:
 
 
 def job_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages_of(jobs_of(spread(_events(spark, sf_dir), spark.sparkContext.defaultParallelism)))
+    return messages_of(jobs_of(spread(_events(spark, sf_dir), tasks(spark, sf_dir))))
 
 
 _LOG_PAYLOAD = """
@@ -224,7 +237,7 @@ def log_messages_of(base: DataFrame) -> DataFrame:
 
 
 def log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_messages_of(jobs_of(spread(_events(spark, sf_dir), spark.sparkContext.defaultParallelism)))
+    return log_messages_of(jobs_of(spread(_events(spark, sf_dir), tasks(spark, sf_dir))))
 
 
 def job_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

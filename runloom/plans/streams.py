@@ -12,41 +12,43 @@ from runloom.plans.ingestion import (
     BUFFERED_CHECK, DRAINED_CHECK, FOLD_CHECK, LOST_CHECK, RESOLVED_CHECK, STATUS_CHECK, folded_columns,
 )
 from runloom.plans.registry import query
-from runloom.session import configure, shared_dir
+from runloom.session import configure, shared_dir, spread
 from runloom.sources.messages import parse_job_messages, parse_log_messages, valid_rows
-from runloom.sources.streams import file_messages, table_stream
+from runloom.sources.streams import append_files, file_messages, table_stream
 from runloom.sources.tables import read_table, write_batch
 from runloom.streaming import ingest, resolve, state, windows
 
 
 def _jobs(spark: SparkSession, sf: str) -> DataFrame:
     schema = configure(spark).read.parquet(f"{sf}/events.parquet").schema
-    return fx.jobs_of(table_stream(spark, sf, "events", schema))
+    # Events are dealt out, not the messages made from them, which are many times as large.
+    return fx.jobs_of(spread(table_stream(spark, sf, "events", schema), fx.tasks(spark, sf)))
 
 
 @query(FOLD_CHECK)
 def stream_fold(spark, sf):
     messages = fx.messages_of(_jobs(spark, sf)).drop("batch_id")
     path = shared_dir(spark, "fold")
-    tasks = spark.sparkContext.defaultParallelism
-    ingest.ingest_jobs(messages, path, f"{path}/checkpoint", fx.AS_OF, partitions=tasks).awaitTermination()
+    ingest.ingest_jobs(messages, path, f"{path}/checkpoint", fx.AS_OF).awaitTermination()
     return folded_columns(ingest.current_runs(spark, path))
 
 
-def _in_four_files(messages: DataFrame, path: str) -> None:
-    """Messages in their order of arrival, a file for each quarter."""
+def _in_four_files(messages: DataFrame, path: str, files: int) -> None:
+    """Messages in their order of arrival, a file for each quarter, or as many as its size needs."""
     for k in range(4):
         quarter = messages.filter(F.floor(F.col("batch_id") / 4) == k).select("seq", "payload")
-        quarter.coalesce(1).write.mode("append").parquet(path)
+        append_files(quarter, path, files)
 
 
 @query(FOLD_CHECK)
 def stream_fold_batches(spark, sf):
     """Micro-batches merged one by one into the stored runs table."""
     path = shared_dir(spark, "fold")
-    _in_four_files(fx.job_messages(spark, sf), f"{path}/in")
-    messages = file_messages(spark, f"{path}/in", format="parquet", max_files=1)
-    ingest.ingest_jobs(messages, path, f"{path}/checkpoint", fx.AS_OF, table=f"{path}/runs").awaitTermination()
+    files = fx.parts(spark, sf)
+    _in_four_files(fx.job_messages(spark, sf), f"{path}/in", files)
+    messages = file_messages(spark, f"{path}/in", format="parquet", max_files=files)
+    ingest.ingest_jobs(
+        messages, path, f"{path}/checkpoint", fx.AS_OF, table=f"{path}/runs", partitions=fx.tasks(spark, sf)).awaitTermination()
     return folded_columns(read_table(spark, f"{path}/runs"))
 
 
@@ -54,8 +56,9 @@ def stream_fold_batches(spark, sf):
 def stream_state_machine(spark, sf):
     """Four micro-batches through a state of its own for every run, merged into the stored table."""
     path = shared_dir(spark, "machine")
-    _in_four_files(fx.job_messages(spark, sf), f"{path}/in")
-    events = valid_rows(parse_job_messages(file_messages(spark, f"{path}/in", format="parquet", max_files=1)))
+    files = fx.parts(spark, sf)
+    _in_four_files(fx.job_messages(spark, sf), f"{path}/in", files)
+    events = valid_rows(parse_job_messages(file_messages(spark, f"{path}/in", format="parquet", max_files=files)))
     state.read_through(state.ingest_states(events, f"{path}/runs", path, f"{path}/checkpoint", keep=timedelta(days=30)))
     return folded_columns(read_table(spark, f"{path}/runs"))
 
@@ -64,32 +67,36 @@ def stream_state_machine(spark, sf):
 def stream_upsert_feed(spark, sf):
     """The last notice of every run that ingestion has changed, at most one a second each."""
     path = shared_dir(spark, "feed")
-    _in_four_files(fx.job_messages(spark, sf), f"{path}/in")
-    messages = file_messages(spark, f"{path}/in", format="parquet", max_files=1)
-    ingest.ingest_jobs(messages, path, f"{path}/checkpoint", fx.AS_OF, table=f"{path}/runs").awaitTermination()
+    files = fx.parts(spark, sf)
+    _in_four_files(fx.job_messages(spark, sf), f"{path}/in", files)
+    messages = file_messages(spark, f"{path}/in", format="parquet", max_files=files)
+    ingest.ingest_jobs(
+        messages, path, f"{path}/checkpoint", fx.AS_OF, table=f"{path}/runs", partitions=fx.tasks(spark, sf)).awaitTermination()
     state.read_through(state.upsert_feed(spark, path, f"{path}/feed", f"{path}/feed-checkpoint", max_files=8), quiet=4)
     return windows.newest(spark, f"{path}/feed", ["kind", "id"]).select("id", "status")
 
 
 def _joined_logs(spark, sf) -> str:
     """Lines and runs as two streams of files, by the time of their jobs; half of the runs come a file late."""
-    path = shared_dir(spark, "joined")
-    lines = valid_rows(parse_log_messages(fx.log_messages(spark, sf)))
-    runs = fx.job_runs(spark, sf).select("queue", "job_id", "enqueued_at", "id")
+    path, files = shared_dir(spark, "joined"), fx.parts(spark, sf)
     part = lambda moment: F.floor(F.dayofmonth(moment) / 8)
+    # Parsed once for all files.
+    parsed = valid_rows(parse_log_messages(fx.log_messages(spark, sf)))
+    parsed.withColumn("part", part("job_timestamp")).write.partitionBy("part").parquet(f"{path}/parsed")
+    lines = spark.read.schema(parsed.withColumn("part", F.lit(0)).schema).parquet(f"{path}/parsed")
+    runs = fx.job_runs(spark, sf).select("queue", "job_id", "enqueued_at", "id")
     late = F.pmod(F.crc32("job_id"), F.lit(2))
+    for k in range(5):
+        append_files(lines.filter(F.col("part") == k).drop("part").repartition(files), f"{path}/lines", files)
+        append_files(runs.filter(part("enqueued_at") + late == k).repartition(files), f"{path}/runs", files)
     # What comes last says how far time has got: nothing earlier is to be expected.
     end = F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")
-    for k in range(6):
-        some, known = lines.filter(part("job_timestamp") == k), runs.filter(part("enqueued_at") + late == k)
-        if k == 5:
-            some = lines.limit(1).withColumns({"job_timestamp": end, "job_id": F.lit("end")})
-            known = runs.limit(1).withColumns({"enqueued_at": end, "job_id": F.lit("no line")})
-        some.coalesce(1).write.mode("append").parquet(f"{path}/lines")
-        known.coalesce(1).write.mode("append").parquet(f"{path}/runs")
+    lines = lines.drop("part")
+    append_files(lines.limit(1).withColumns({"job_timestamp": end, "job_id": F.lit("end")}), f"{path}/lines", 1)
+    append_files(runs.limit(1).withColumns({"enqueued_at": end, "job_id": F.lit("no line")}), f"{path}/runs", 1)
 
     def stream(name: str, like: DataFrame) -> DataFrame:
-        return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/{name}")
+        return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/{name}")
 
     resolve.ingest_resolved(stream("lines", lines), stream("runs", runs), path, f"{path}/checkpoint", "17 days").awaitTermination()
     return path
@@ -127,12 +134,14 @@ def drain_then_ingest(spark, sf):
     """Drains between runs of the ingestion, which goes on with the buffer as the drain has left it."""
     path = shared_dir(spark, "logs")
     messages, runs = fx.log_messages(spark, sf), fx.job_runs(spark, sf)
+    files, tasks = fx.parts(spark, sf), fx.tasks(spark, sf)
     for k in range(2):
         half = messages.filter(F.floor(F.col("batch_id") / 8) == k).select("seq", "payload")
-        half.coalesce(2).write.mode("append").parquet(f"{path}/in")
-        source = file_messages(spark, f"{path}/in", format="parquet", max_files=1)
+        append_files(half, f"{path}/in", 2 * files)
+        source = file_messages(spark, f"{path}/in", format="parquet", max_files=files)
         known = runs.filter(F.crc32("job_id") % 2 == 0)
-        ingest.ingest_logs(source, lambda known=known: known, path, f"{path}/checkpoint", fx.AS_OF).awaitTermination()
+        ingest.ingest_logs(
+            source, lambda known=known: known, path, f"{path}/checkpoint", fx.AS_OF, partitions=tasks).awaitTermination()
         ingest.drain_buffer(spark, path, runs)
     return ingest.current_logs(spark, path)
 
@@ -141,11 +150,13 @@ def drain_then_ingest(spark, sf):
 def stream_buffer_drained(spark, sf):
     """Lines that came before their runs, moved to the logs by a drain afterwards."""
     path = shared_dir(spark, "logs")
-    _in_four_files(fx.log_messages(spark, sf), f"{path}/in")
-    messages = file_messages(spark, f"{path}/in", format="parquet", max_files=1)
+    files = fx.parts(spark, sf)
+    _in_four_files(fx.log_messages(spark, sf), f"{path}/in", files)
+    messages = file_messages(spark, f"{path}/in", format="parquet", max_files=files)
     runs = fx.job_runs(spark, sf)
     early = runs.filter(F.crc32("job_id") % 2 == 0)
-    ingest.ingest_logs(messages, lambda: early, path, f"{path}/checkpoint", fx.AS_OF).awaitTermination()
+    ingest.ingest_logs(
+        messages, lambda: early, path, f"{path}/checkpoint", fx.AS_OF, partitions=fx.tasks(spark, sf)).awaitTermination()
     ingest.drain_buffer(spark, path, runs, 1_000_000)
     return ingest.current_logs(spark, path)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from runloom.sources.tables import file_names, path_of
+
 MESSAGE = T.StructType([T.StructField("seq", T.LongType()), T.StructField("payload", T.StringType())])
 
 
@@ -31,6 +33,24 @@ def file_messages(spark: SparkSession, path: str, format: str = "json", max_file
     return reader.load(path)
 
 
+def append_files(rows: DataFrame, path: str, files: int) -> None:
+    """Append rows as just so many files, so that a stream that takes as many at a time stops between two appends.
+
+    Tasks that have no rows leave no file; empty files make up for them.
+    """
+    spark = rows.sparkSession
+    before = set(file_names(spark, path))
+    rows.coalesce(files).write.mode("append").parquet(path)
+    new = set(file_names(spark, path)) - before
+    if len(new) < files:
+        spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(path)
+        (empty,) = set(file_names(spark, path)) - before - new
+        copy = spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy
+        for k in range(1, files - len(new)):
+            (fs, source), (_, target) = path_of(spark, f"{path}/{empty}"), path_of(spark, f"{path}/{k}-{empty}")
+            copy(fs, source, fs, target, False, spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
     """One Parquet table of a data folder as a stream."""
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)

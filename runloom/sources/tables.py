@@ -147,24 +147,31 @@ def dates_of(spark: SparkSession, path: str, partition: str) -> list[str]:
     return _folders(spark, path, partition)
 
 
-def _path(spark: SparkSession, path: str):
+def path_of(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    files, place = _path(spark, path)
+    files, place = path_of(spark, path)
     return files.exists(place)
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    files, place = _path(spark, path)
+    files, place = path_of(spark, path)
     files.delete(place, True)
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the data files in a folder; none where there is no folder yet."""
+    files, place = path_of(spark, path)
+    names = [status.getPath().getName() for status in files.listStatus(place)] if files.exists(place) else []
+    return [name for name in names if not name.startswith(("_", "."))]
+
+
 def _folders(spark: SparkSession, path: str, partition: str) -> list[str]:
     """Values of a table's partition column, by its folders; none where there is no table yet."""
-    files, place = _path(spark, path)
+    files, place = path_of(spark, path)
     if not files.exists(place):
         return []
     names = [status.getPath().getName() for status in files.listStatus(place)]

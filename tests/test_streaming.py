@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from rows import T0, job_message
 from runloom.operators import upsert as up
-from runloom.plans import fixture as fx
+from runloom.plans import catalog, fixture as fx
 from runloom.session import shared_dir
 from runloom.sources.messages import parse_job_messages, parse_log_messages, valid_rows
-from runloom.sources.streams import file_messages, kafka_messages, publish
-from runloom.sources.tables import write_batch
+from runloom.sources.streams import append_files, file_messages, kafka_messages, publish
+from runloom.sources.tables import file_names, write_batch
 from runloom.streaming import ingest, windows
 
 EPOCH = 1704888000000
@@ -167,3 +167,30 @@ def test_shared_folder_follows_the_session():
         shared_dir(_Session(master="yarn"), "x")
     local = _Session()
     assert shared_dir(local, "x").startswith(local.own)
+
+
+def test_an_append_is_just_so_many_files(spark, folder):
+    """Rows that few tasks hold, or none, still fill a trigger of their own."""
+    rows = spark.createDataFrame([(k, str(k)) for k in range(6)], "seq long, payload string")
+    for k, some in enumerate((rows.filter("seq < 3").repartition(1), rows.filter("seq > 9"), rows.filter("seq >= 3").repartition(8))):
+        append_files(some, f"{folder}/in", 4)
+        assert len(file_names(spark, f"{folder}/in")) == 4 * (k + 1)
+    seen = []
+    stream = file_messages(spark, f"{folder}/in", format="parquet", max_files=4)
+    stream.writeStream.foreachBatch(lambda batch, _: seen.append(sorted(r.seq for r in batch.collect()))).option(
+        "checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert seen == [[0, 1, 2], [], [3, 4, 5]]
+
+
+def test_no_task_makes_the_messages_of_all_events(spark, folder, monkeypatch):
+    """Files and tasks grow with the events; a quarter of the messages still arrives before the next."""
+    monkeypatch.setattr(fx, "EVENTS_PER_TASK", 25)
+    spark.range(64).selectExpr(
+        "id as event_id", "timestamp_ntz'2024-01-03' + make_dt_interval(id % 28) as ts", "id as user_id",
+        "element_at(array('error', 'view', 'click', 'signup'), cast(id % 4 as int) + 1) as event_type", "1.5d as value", "'{}' as props",
+    ).coalesce(1).write.parquet(f"{folder}/events.parquet")
+    assert fx.parts(spark, folder) == 3
+    for query, batch in (("stream_fold_batches", "fold_per_event"), ("stream_logs_joined", "logs_resolved")):
+        result, expected = catalog.QUERIES[query](spark, folder), catalog.QUERIES[batch](spark, folder)
+        rows = sorted(map(str, result.select(expected.columns).collect()))
+        assert rows and rows == sorted(map(str, expected.collect()))
