@@ -4,6 +4,10 @@ Both use value state in RocksDB, so what is remembered lies on the executors'
 disks and in the checkpoint, not in their heaps. Payloads travel as one column of
 canonical JSON that is written and read by built-in functions; the Python side
 sees numbers and statuses only.
+
+Every call from Python to the state store is a round trip, which costs more than
+the work on an event. So keys share packs: a trigger reads and writes a pack once,
+and in it each key has a state and a time of its own.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS"}
 _MILLIS = timedelta(milliseconds=1)
+# Runs of one hour of creation lie in so many packs, and the keys of a feed in so many.
+_RUN_PACKS, _FEED_PACKS = 32, 1024
 
 
 @contextmanager
@@ -46,7 +52,8 @@ def read_through(query: StreamingQuery, quiet: int = 2, at_most: float = 900) ->
 
     A query with timers or expiring state goes on for ever, so it has no end of
     its own to wait for. One trigger says nothing: a restarted query begins by
-    repeating the one it was stopped in.
+    repeating the one it was stopped in. A query is stuck when no trigger ends for
+    ``at_most`` seconds, however many it takes.
     """
     last, idle, end = None, 0, time.monotonic() + at_most
     quiet = max(2, quiet)
@@ -56,7 +63,7 @@ def read_through(query: StreamingQuery, quiet: int = 2, at_most: float = 900) ->
             raise TimeoutError("the stream did not come to rest")
         progress = query.lastProgress
         if progress is not None and progress["batchId"] != last:
-            last = progress["batchId"]
+            last, end = progress["batchId"], time.monotonic() + at_most
             idle = idle + 1 if progress["numInputRows"] == 0 else 0
         time.sleep(0.1)
     if query.exception() is not None:
@@ -86,33 +93,48 @@ class RunMachine(StatefulProcessor):
     """What a run has come to: a terminal status stays, tags stay until others come, all else is the last event's.
 
     Every part of the state carries the arrival number it came with, so events
-    may be delivered in any order within a trigger, or twice.
+    may be delivered in any order within a trigger, or twice. A run is forgotten
+    ``keep`` after the last event that changed its state, a pack with its last run.
     """
 
     def __init__(self, keep: timedelta | None):
         self.keep = None if keep is None else keep // _MILLIS
 
     def init(self, handle) -> None:
-        self.run = handle.getValueState(
-            "run", "last long, status string, body string, ended long, terminal string, tagged long, tags array<string>", self.keep)
+        self.pack = handle.getValueState(
+            "pack", "id array<string>, at array<long>, last array<long>, status array<string>, body array<string>, ended array<long>,"
+            " terminal array<string>, tagged array<long>, tags array<array<string>>", self.keep)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        old = self.run.get()
-        last, status, body, ended, terminal, tagged, tags = old or (-1, None, None, -1, None, -1, [])
-        for row in rows:
-            if row.seq > last:
-                last, status, body = row.seq, row.status, row.body
-            if row.final and row.seq > ended:
-                ended, terminal = row.seq, row.status
-            if row.tags and row.seq > tagged:
-                tagged, tags = row.seq, list(row.tags)
-        new = (last, status, body, ended, terminal, tagged, list(tags))
-        if old is not None and new == (*old[:-1], list(old[-1])):
+        now = timerValues.getCurrentProcessingTimeInMs()
+        runs = {run: (at, state) for run, at, *state in zip(*(self.pack.get() or ()))
+                if self.keep is None or at + self.keep > now}
+        fresh = {}
+        for _, run, seq, status, final, tags, body in rows:
+            state = fresh.get(run)
+            if state is None:
+                state = fresh[run] = list(runs[run][1]) if run in runs else [-1, None, None, -1, None, -1, []]
+            if seq > state[0]:
+                state[:3] = seq, status, body
+            if final and seq > state[3]:
+                state[3:5] = seq, status
+            if tags and seq > state[5]:
+                state[5:] = seq, list(tags)
+        changed = {run: state for run, state in fresh.items() if run not in runs or state != runs[run][1]}
+        if not changed:
             return
-        self.run.update(new)
-        now = (terminal or status, body, list(tags))
-        if old is None or now != (old[4] or old[1], old[2], list(old[6])):
-            yield Row(id=key[0], status=now[0], tags=now[2], body=now[1])
+        before = {run: self._shown(runs[run][1]) for run in changed if run in runs}
+        runs.update({run: (now, state) for run, state in changed.items()})
+        self.pack.update(tuple(map(list, zip(*((run, at, *state) for run, (at, state) in runs.items())))))
+        for run, state in changed.items():
+            shown = self._shown(state)
+            if shown != before.get(run):
+                yield Row(id=run, status=shown[0], tags=shown[2], body=shown[1])
+
+    @staticmethod
+    def _shown(state: list) -> tuple:
+        _, status, body, _, terminal, _, tags = state
+        return terminal or status, body, tags
 
     def close(self) -> None:
         pass
@@ -123,14 +145,17 @@ def run_states(events: DataFrame, keep: timedelta | None = None) -> DataFrame:
 
     The state of a run is dropped ``keep`` after its last event, in processing
     time; with the retention it holds what the stored table holds. Events that
-    come later start a new state, so they pass a retention filter first.
+    come later start a new state, so they pass a retention filter first. A pack
+    holds runs of one hour, so it stays as small as that hour is, however many
+    runs there are.
     """
     keys = events.select(*RUN_KEY, *RUN_VALUES)
     body = F.to_json(F.struct(*RUN_KEY, *RUN_VALUES), _TIMES)
+    pack = F.xxhash64(F.date_trunc("hour", "enqueued_at"), F.pmod(F.crc32(run_id()), F.lit(_RUN_PACKS)))
     slim = events.select(
-        run_id().alias("id"), "seq", "status", F.coalesce(is_terminal(F.col("status")), F.lit(False)).alias("final"), "tags",
+        pack.alias("pack"), run_id().alias("id"), "seq", "status", F.coalesce(is_terminal(F.col("status")), F.lit(False)).alias("final"), "tags",
         body.alias("body"))
-    changed = slim.groupBy("id").transformWithState(
+    changed = slim.groupBy("pack").transformWithState(
         RunMachine(keep), "id string, status string, tags array<string>, body string", "Update", "ProcessingTime")
     fields = changed.withColumn("body", F.from_json("body", keys.schema, _TIMES))
     return complete(fields.select(
@@ -157,7 +182,10 @@ def ingest_states(events: DataFrame, table: str, path: str, checkpoint: str, kee
 
 
 class Coalescer(StatefulProcessor):
-    """At most one message per key and interval, the latest: at once after a pause, else when the interval is over."""
+    """At most one message per key and interval, the latest: at once after a pause, else when the interval is over.
+
+    Whatever of a pack waits has a timer for the moment it is due.
+    """
 
     def __init__(self, interval: int):
         self.interval = interval
@@ -165,36 +193,60 @@ class Coalescer(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         # What was sent long ago holds nothing back and may be forgotten; what waits may not.
-        self.sent = handle.getValueState("sent", "at long", 60 * self.interval)
-        self.waiting = handle.getValueState("waiting", "number long, body string, merged long")
+        self.sent = handle.getValueState("sent", "kind array<string>, id array<string>, at array<long>", 60 * self.interval)
+        self.waiting = handle.getValueState(
+            "waiting", "kind array<string>, id array<string>, due array<long>, number array<long>, body array<string>, merged array<long>")
+
+    def _open(self, now: int) -> tuple[dict, dict]:
+        """When the messages were sent that still hold others back, and what waits: due, number, body, merged."""
+        sent = {(kind, id): at for kind, id, at in zip(*(self.sent.get() or ())) if now - at < self.interval}
+        return sent, {(kind, id): held for kind, id, *held in zip(*(self.waiting.get() or ()))}
+
+    def _close(self, now: int, sent: dict, waiting: dict, out: list) -> None:
+        sent.update({key: now for key, *_ in out})
+        if out:
+            self.sent.update(tuple(map(list, zip(*((*key, at) for key, at in sent.items())))))
+        if waiting:
+            self.waiting.update(tuple(map(list, zip(*((*key, *held) for key, held in waiting.items())))))
+        else:
+            self.waiting.clear()
 
-    def _send(self, key, now: int, body: str, merged: int) -> Row:
-        self.sent.update((now,))
-        return Row(kind=key[0], id=key[1], body=body, merged=merged, sent_at=now)
+    @staticmethod
+    def _sent(now: int, out: list) -> Iterator[Row]:
+        for (kind, id), body, merged in out:
+            yield Row(kind=kind, id=id, body=body, merged=merged, sent_at=now)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.waiting.get()
-        number, body, merged = held or (-1, None, 0)
-        for row in rows:
-            merged += 1
-            if row.number >= number:
-                number, body = row.number, row.body
         now = timerValues.getCurrentProcessingTimeInMs()
-        sent = self.sent.get()
-        before = sent[0] if sent else None
-        if held is None and (before is None or now - before >= self.interval):
-            yield self._send(key, now, body, merged)
-            return
-        self.waiting.update((number, body, merged))
-        if held is None:
-            self.handle.registerTimer(before + self.interval)
+        sent, waiting = self._open(now)
+        timers = {held[0] for held in waiting.values()}
+        fresh = {}
+        for _, kind, id, number, body in rows:
+            held = waiting.get((kind, id)) or fresh.setdefault((kind, id), [None, -1, None, 0])
+            held[3] += 1
+            if number >= held[1]:
+                held[1:3] = number, body
+        out = []
+        for message, held in fresh.items():
+            if message in sent:
+                held[0] = sent[message] + self.interval
+                waiting[message] = held
+            else:
+                out.append((message, *held[2:]))
+        for due in {held[0] for held in waiting.values()} - timers:
+            self.handle.registerTimer(due)
+        self._close(now, sent, waiting, out)
+        yield from self._sent(now, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = self.waiting.get()
-        if held is not None:
-            _, body, merged = held
-            self.waiting.clear()
-            yield self._send(key, timerValues.getCurrentProcessingTimeInMs(), body, merged)
+        now = timerValues.getCurrentProcessingTimeInMs()
+        sent, waiting = self._open(now)
+        out = [(message, *held[2:]) for message, held in waiting.items() if held[0] <= now]
+        for message, *_ in out:
+            del waiting[message]
+        if out:
+            self._close(now, sent, waiting, out)
+        yield from self._sent(now, out)
 
     def close(self) -> None:
         pass
@@ -209,8 +261,9 @@ def coalesced_feed(messages: DataFrame, number: str, interval: timedelta = timed
     """
     rest = [c for c in messages.columns if c not in ("kind", "id")]
     schema = messages.select(*rest).schema
-    slim = messages.select("kind", "id", F.col(number).cast("long").alias("number"), F.to_json(F.struct(*rest), _TIMES).alias("body"))
-    sent = slim.groupBy("kind", "id").transformWithState(
+    pack = F.pmod(F.xxhash64("kind", "id"), F.lit(_FEED_PACKS))
+    slim = messages.select(pack.alias("pack"), "kind", "id", F.col(number).cast("long").alias("number"), F.to_json(F.struct(*rest), _TIMES).alias("body"))
+    sent = slim.groupBy("pack").transformWithState(
         Coalescer(interval // _MILLIS), "kind string, id string, body string, merged long, sent_at long", "Update", "ProcessingTime")
     opened = sent.withColumn("body", F.from_json("body", schema, _TIMES))
     return opened.select(

@@ -91,3 +91,71 @@ def test_lines_and_runs_meet_in_either_order(spark, folder):
     assert sorted((r.job_run_id, r.log_seq) for r in logs.collect()) == [("1", 0), ("2", 1)]
     assert [r.job_id for r in spark.read.parquet(f"{folder}/out/unresolved").collect()] == ["never"]
     assert logs.filter(F.col("id").isNull()).count() == 0
+
+
+class Store:
+    """A value state and its timers, which count the calls."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, 0, set()
+
+    def getValueState(self, *_):
+        return self if self.value is None and not self.calls else Store()
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class At:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_runs_of_a_pack_share_calls_and_each_has_its_own_time(spark):
+    store, machine = Store(), state.RunMachine(10 * MS)
+    machine.init(store)
+    events_of = lambda ids, seq, status, final=False: iter([(0, i, seq, status, final, ["t"], f"{seq}") for i in ids])
+    assert len(list(machine.handleInputRows((0,), events_of(range(500), 1, "completed", True), At(0)))) == 500
+    assert store.calls == 2
+    assert list(machine.handleInputRows((0,), events_of(range(500), 1, "completed", True), At(5))) == []
+    late = list(machine.handleInputRows((0,), events_of([7], 2, "active"), At(9)))
+    assert [(r.id, r.status, r.body) for r in late] == [(7, "completed", "2")]
+    # At 12 all runs but the seventh are forgotten, also the one whose repeated event changed nothing.
+    after = list(machine.handleInputRows((0,), events_of([7, 8], 3, "active"), At(12)))
+    assert [(r.id, r.status) for r in after] == [(7, "completed"), (8, "active")]
+    assert list(store.value[0]) == [7, 8]
+
+
+def test_keys_of_a_feed_pack_wait_for_their_own_time():
+    class Handle(Store):
+        def getValueState(self, name, *_):
+            setattr(self, name, Store())
+            getattr(self, name).clear = lambda: getattr(self, name).update(None)
+            return getattr(self, name)
+
+    handle, feed = Handle(), state.Coalescer(10)
+    feed.init(handle)
+    notices = lambda ids, number: iter([(0, "run", i, number, f"{number}") for i in ids])
+    ids = lambda rows: [(r.id, r.body, r.merged) for r in rows]
+    assert len(ids(feed.handleInputRows((0,), notices(range(500), 1), At(0)))) == 500
+    assert handle.sent.calls + handle.waiting.calls <= 4
+    assert ids(feed.handleInputRows((0,), notices(["x"], 1), At(5))) == [("x", "1", 1)]
+    assert ids(feed.handleInputRows((0,), notices([3, "x"], 2), At(6))) == []
+    assert ids(feed.handleInputRows((0,), notices([3], 4), At(7))) == ids(feed.handleInputRows((0,), notices([3], 3), At(8))) == []
+    assert handle.timers == {10, 15}
+    assert ids(feed.handleExpiredTimer((0,), At(10), None)) == [(3, "4", 3)]
+    assert ids(feed.handleInputRows((0,), notices([3, 4], 5), At(12))) == [(4, "5", 1)]
+    assert handle.timers == {10, 15, 20}
+    assert ids(feed.handleExpiredTimer((0,), At(15), None)) == [("x", "2", 1)]
+    assert ids(feed.handleExpiredTimer((0,), At(20), None)) == [(3, "5", 1)]
