@@ -23,6 +23,7 @@ where it may be linked, and no link that could join two components is lost.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections import OrderedDict
@@ -44,6 +45,8 @@ SAMPLES, SKETCH = 1024, 2048
 ROUNDS = (1, 16, None)
 # Counters that say how frequent a shingle is among the members of open buckets; they order shingles and decide nothing.
 COUNTERS = 1 << 17
+# Documents are joined on one such part of their rare shingles after the other, so that a join shuffles a part only.
+PARTS = 8
 _KINDS = "doc_id long, n long, set_id binary, bands array<long>"
 
 
@@ -244,13 +247,23 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, sketches: DataFrame, perce
     rare = texts.select("doc_id", "text").mapInArrow(_rarest(sent, percent), kinds).distinct()
     rare = staged(rare.join(left, "doc_id"), "rare", free=True)
     sent.destroy()
+    discard(texts, left)
     # A shingle of one component brings no two together.
     shared = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    rare = rare.join(staged(shared.select("shingle"), "shared"), "shingle", "left_semi")
-    # All documents order shingles alike, so a pair comes up at the first one it shares.
-    own = rare.groupBy("doc_id", "n", "component").agg(F.array_sort(F.collect_list(F.struct("place", "shingle", "last"))).alias("own"))
+    shared = staged(shared.select("shingle"), "shared")
+    own = rare.join(shared, "shingle", "left_semi").groupBy("doc_id", "n", "component").agg(F.array_sort(F.collect_list(F.struct("place", "shingle", "last"))).alias("own"))
     own = staged(own.join(sketches.select("doc_id", "sketch"), "doc_id"), "prefixes", free=True)
-    rows = own.select("doc_id", "n", "component", "sketch", "own", F.posexplode("own").alias("at", "it"))
+    discard(rare, shared)
+    found = [staged(_at_shingles(own, k, percent), "pairs", free=True) for k in range(PARTS)]
+    return functools.reduce(DataFrame.union, found).distinct()
+
+
+def _at_shingles(own: DataFrame, part: int, percent: int) -> DataFrame:
+    """Pairs that come up at the shingles of one part. All documents order shingles alike, so a pair comes up at the first one it shares."""
+    # Picked before they become rows, as each row copies the whole prefix.
+    numbered = F.transform("own", lambda x, i: F.struct(i.alias("at"), x.alias("it")))
+    picked = F.filter(numbered, lambda x: F.pmod(x["it"]["shingle"], F.lit(PARTS)) == part)
+    rows = own.select("doc_id", "n", "component", "sketch", "own", F.explode(picked).alias("one")).select("*", "one.at", "one.it")
     earlier = F.transform(F.slice("own", F.lit(1), F.col("at")), lambda x: x["shingle"])
     rows = rows.select("doc_id", "n", "component", "sketch", "it.shingle", "it.last", earlier.alias("earlier"))
     small = rows.filter("last").select(*[F.col(c).alias(f"c_{c}") for c in ("shingle", "doc_id", "n", "component", "sketch", "earlier")])

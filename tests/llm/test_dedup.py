@@ -198,3 +198,15 @@ def test_rows_that_repeat_an_id(spark):
     expected = [(1, 1, 3, False, "same"), (1, 1, 3, True, "same"), (2, 1, 3, False, "same"), (1, 1, 1, True, "othe"),
                 (3, 3, 2, True, "x" * 5000), (4, 3, 2, False, "x" * 5000), (3, 3, 1, True, "y" * 5000)]
     assert sorted(map(tuple, found)) == sorted((*r[:4], digest(r[4])) for r in expected)
+
+
+def test_rare_shingles_are_joined_part_by_part_and_no_pair_is_lost(spark):
+    entry = lambda place, shingle: (place, shingle, True)
+    prefixes = {1: [3, 8, 9], 2: [8, 9, 21], 3: [4, 21], 4: [-5, 40], 5: [-5]}
+    rows = [(d, 10, d, [entry(k, s) for k, s in enumerate(own)], [0] * (near_dedup.SKETCH // 64)) for d, own in prefixes.items()]
+    own = spark.createDataFrame(
+        rows, "doc_id long, n long, component long, own array<struct<place int, shingle long, last boolean>>, sketch array<long>")
+    found = [[(r.a, r.b) for r in near_dedup._at_shingles(own, k, 75).collect()] for k in range(near_dedup.PARTS)]
+    assert sorted(pair for part in found for pair in part) == [(1, 2), (2, 3), (4, 5)]
+    # A pair comes up in the part of the first shingle it shares.
+    assert found[0] == [(1, 2)] and (2, 3) in found[21 % 8] and (4, 5) in found[-5 % 8]
