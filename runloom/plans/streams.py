@@ -12,7 +12,7 @@ from runloom.plans.ingestion import (
     BUFFERED_CHECK, DRAINED_CHECK, FOLD_CHECK, LOST_CHECK, RESOLVED_CHECK, STATUS_CHECK, folded_columns,
 )
 from runloom.plans.registry import query
-from runloom.session import configure, shared_dir, spread
+from runloom.session import FREED, configure, settings, shared_dir, spread
 from runloom.sources.messages import parse_job_messages, parse_log_messages, valid_rows
 from runloom.sources.streams import append_files, file_messages, table_stream
 from runloom.sources.tables import read_table, write_batch
@@ -35,9 +35,10 @@ def stream_fold(spark, sf):
 
 def _in_four_files(messages: DataFrame, path: str, files: int) -> None:
     """Messages in their order of arrival, a file for each quarter, or as many as its size needs."""
-    for k in range(4):
-        quarter = messages.filter(F.floor(F.col("batch_id") / 4) == k).select("seq", "payload")
-        append_files(quarter, path, files)
+    with settings(messages.sparkSession, FREED):
+        for k in range(4):
+            quarter = messages.filter(F.floor(F.col("batch_id") / 4) == k).select("seq", "payload")
+            append_files(quarter, path, files)
 
 
 @query(FOLD_CHECK)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,10 @@ CONTRACT = {
 }
 
 
+# Files of a shuffle go with the execution that wrote them, not when the driver's heap happens to be collected.
+FREED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Put the contract settings on an existing session."""
     for key, value in CONTRACT.items():
@@ -43,6 +48,19 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings that hold inside only; a stream started there keeps them."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def spread(df: DataFrame, partitions: int | None) -> DataFrame:
     """Deal an input over so many tasks, or leave it as its source splits it.
 

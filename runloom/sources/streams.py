@@ -40,7 +40,7 @@ def append_files(rows: DataFrame, path: str, files: int) -> None:
     """
     spark = rows.sparkSession
     before = set(file_names(spark, path))
-    rows.coalesce(files).write.mode("append").parquet(path)
+    rows.coalesce(files).write.mode("append").option("compression", "zstd").parquet(path)
     new = set(file_names(spark, path)) - before
     if len(new) < files:
         spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(path)

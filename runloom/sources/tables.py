@@ -60,24 +60,24 @@ def write_runs(runs: DataFrame, path: str, versioned: bool = False, seen: Pointe
         _write(_by(dated, "created_date").sortWithinPartitions("created_date", *sort), path, "created_date", _RUNS_BLOOM)
 
 
-def upsert_table(path: str, incoming: DataFrame, images: bool = False) -> DataFrame:
+def upsert_table(path: str, incoming: DataFrame, images: bool = False, changes: str | None = None) -> DataFrame:
     """Upsert folded runs into a stored table and return what changed, with ``images`` also from what.
 
     Only the dates of the batch are read and rewritten; a first upsert creates
     the table. The new rows are written to a folder of their own first: the table
     is never read while it is being replaced, and an interrupted replacement can
     be repeated. That folder is removed at the end; the changes, which the result
-    reads, stay.
+    reads, stay, in ``changes`` for a caller who removes them after use.
     """
     spark = incoming.sparkSession
-    staged, changes = shared_dir(spark, "upsert"), shared_dir(spark, "changes")
+    staged, changes = shared_dir(spark, "upsert"), changes or shared_dir(spark, "changes")
     seen = _seen(spark, path)
     if seen or _folders(spark, path, "created_date"):
         rows = upsert_runs(touched_dates(_stored(spark, path, seen), incoming), incoming, images)
     else:
         rows = upsert_runs(incoming.limit(0), incoming, images)
     _replace(rows, path, staged, seen)
-    read_table(spark, staged).filter(F.col(OP) != "keep").write.parquet(changes)
+    read_table(spark, staged).filter(F.col(OP) != "keep").write.option("compression", "zstd").parquet(changes)
     delete(spark, staged)
     return read_table(spark, changes)
 
@@ -113,7 +113,7 @@ def _stored(spark: SparkSession, path: str, seen: Pointer | None) -> DataFrame:
 
 def _replace(rows: DataFrame, path: str, staged: str, seen: Pointer | None) -> None:
     spark = rows.sparkSession
-    rows.write.parquet(staged)
+    rows.write.option("compression", "zstd").parquet(staged)
     write_runs(spark.read.parquet(staged).drop(OP, BEFORE, "created_date"), path, seen=seen)
 
 
@@ -278,7 +278,8 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     A batch that is delivered again replaces its own folder, so replays after a
     failure leave no second copy.
     """
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path.rstrip('/')}/{BATCH}={batch_id}")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd")
+    writer.parquet(f"{path.rstrip('/')}/{BATCH}={batch_id}")
 
 
 def _by(rows: DataFrame, partition: str) -> DataFrame:

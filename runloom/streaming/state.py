@@ -15,7 +15,6 @@ from __future__ import annotations
 import sys
 import time
 from collections.abc import Iterator
-from contextlib import contextmanager
 from datetime import timedelta
 
 from pyspark import cloudpickle
@@ -26,25 +25,38 @@ from runloom.functions.status import is_terminal
 from runloom.functions.text import run_id
 from runloom.operators.upsert import change_feed, complete
 from runloom.schemas import RUN_KEY, RUN_VALUES
-from runloom.sources.tables import upsert_table, write_batch
-
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from runloom.session import FREED, settings, shared_dir
+from runloom.sources.tables import delete, upsert_table, write_batch
+
+_STORE = "spark.sql.streaming.stateStore"
+# A restart needs the last state only, so older versions are dropped.
+_ROCKSDB = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+    # It lies on disk twice, on the executors and in the checkpoint.
+    f"{_STORE}.rocksdb.compression": "zstd",
+    f"{_STORE}.rocksdb.blockSizeKB": "16",
+    f"{_STORE}.rocksdb.compactOnCommit": "true",
+    # Else every write reads first, to count keys for the progress reports.
+    f"{_STORE}.rocksdb.trackTotalNumberOfRows": "false",
+    **FREED,
+}
 _TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS"}
 _MILLIS = timedelta(milliseconds=1)
 # Runs of one hour of creation lie in so many packs, and the keys of a feed in so many.
 _RUN_PACKS, _FEED_PACKS = 32, 1024
 
 
-@contextmanager
-def rocksdb(spark: SparkSession):
+def rocksdb(spark: SparkSession, more: dict[str, str] = {}):
     """Queries started inside keep their state in RocksDB; a query holds on to the settings it started with."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
-    try:
-        yield
-    finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+    return settings(spark, {**_ROCKSDB, **more})
+
+
+def _tasks_done() -> list[tuple[int, int]]:
+    """The stages at work, each with the number of its tasks that have ended."""
+    tracker = SparkSession.active().sparkContext.statusTracker()
+    stages = {stage: tracker.getStageInfo(stage) for stage in tracker.getActiveStageIds()}
+    return sorted((stage, info.numCompletedTasks) for stage, info in stages.items() if info is not None)
 
 
 def read_through(query: StreamingQuery, quiet: int = 2, at_most: float = 900) -> None:
@@ -52,12 +64,14 @@ def read_through(query: StreamingQuery, quiet: int = 2, at_most: float = 900) ->
 
     A query with timers or expiring state goes on for ever, so it has no end of
     its own to wait for. One trigger says nothing: a restarted query begins by
-    repeating the one it was stopped in. A query is stuck when no trigger ends for
-    ``at_most`` seconds, however many it takes.
+    repeating the one it was stopped in. A query is stuck when for ``at_most``
+    seconds no trigger and no task ends, however long a trigger takes.
     """
-    last, idle, end = None, 0, time.monotonic() + at_most
+    last, idle, end, done = None, 0, time.monotonic() + at_most, None
     quiet = max(2, quiet)
     while query.isActive and idle < quiet:
+        if (now := _tasks_done()) != done:
+            done, end = now, time.monotonic() + at_most
         if time.monotonic() > end:
             query.stop()
             raise TimeoutError("the stream did not come to rest")
@@ -172,8 +186,9 @@ def ingest_states(events: DataFrame, table: str, path: str, checkpoint: str, kee
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        changes = upsert_table(table, batch)
-        write_batch(change_feed(changes), f"{path}/changes", batch_id)
+        changes = shared_dir(batch.sparkSession, "changes")
+        write_batch(change_feed(upsert_table(table, batch, changes=changes)), f"{path}/changes", batch_id)
+        delete(batch.sparkSession, changes)
 
     handle = _unless_empty(handle)
     with rocksdb(events.sparkSession):

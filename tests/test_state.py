@@ -1,12 +1,16 @@
 """Keyed state: the run machine, the feed by the clock, the join of two streams."""
 
+import glob
+import os
 import time
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from rows import T0, event, events
 from runloom.operators import upsert as up
+from runloom.session import FREED, settings, shared_dir
 from runloom.sources import tables
 from runloom.streaming import resolve, state
 
@@ -70,6 +74,56 @@ def test_feed_sends_one_notice_a_second_and_always_the_last(spark, folder):
     assert [(r.status, r.merged) for r in sent if r.id == "b"] == [("waiting", 1)]
 
 
+def test_machine_leaves_no_old_rows_on_disk(spark, folder):
+    """Neither the changes of a trigger that are announced by then, nor the files of its shuffles."""
+    shared = os.path.dirname(shared_dir(spark, "any")).removeprefix("file:")
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {name.split("/shuffle_")[1].split("_")[0] for name in blocks.getAllFiles().mkString(",").split(",") if "/shuffle_" in name}
+    before, written = set(glob.glob(f"{shared}/*")), shuffles()
+    schema = events(spark, []).schema
+    for seq in range(4):
+        arrive(f"{folder}/in", events(spark, [event(seq, "active", job_id=f"{k}", data=f"{seq}") for k in range(50)]))
+    state.read_through(state.ingest_states(
+        stream(spark, f"{folder}/in", schema), f"{folder}/runs", folder, f"{folder}/cp", keep=timedelta(days=1)))
+    assert spark.read.parquet(f"{folder}/changes").count() == 200
+    assert not set(glob.glob(f"{shared}/*")) - before
+    # Those of the empty trigger it was stopped in may be left; four triggers with rows have three each.
+    assert len(shuffles() - written) <= 3
+
+
+def test_settings_hold_inside_only(spark):
+    (key,) = FREED
+    with settings(spark, {**FREED, "runloom.test": "1"}):
+        assert (spark.conf.get(key), spark.conf.get("runloom.test")) == ("true", "1")
+    assert (spark.conf.get(key), spark.conf.get("runloom.test", None)) == ("false", None)
+
+
+def test_a_long_trigger_is_not_stuck_while_its_tasks_end(spark, monkeypatch):
+    class Query:
+        isActive, lastProgress, stopped = True, None, False
+
+        def stop(self):
+            self.stopped = True
+
+        def exception(self):
+            return None
+
+    done, query = [0], Query()
+
+    def tasks():
+        done[0] += 1
+        query.isActive = done[0] < 10
+        return done[0]
+
+    monkeypatch.setattr(state, "_tasks_done", tasks)
+    state.read_through(query, at_most=0.25)
+    assert done[0] == 10
+    query.isActive = True
+    monkeypatch.setattr(state, "_tasks_done", lambda: 10)
+    with pytest.raises(TimeoutError):
+        state.read_through(query, at_most=0.25)
+
+
 def line(job, at, seq=0):
     return ("q", job, at, at, seq, "log", "m")
 
