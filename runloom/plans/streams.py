@@ -12,7 +12,7 @@ from runloom.plans.ingestion import (
     BUFFERED_CHECK, DRAINED_CHECK, FOLD_CHECK, LOST_CHECK, RESOLVED_CHECK, STATUS_CHECK, folded_columns,
 )
 from runloom.plans.registry import query
-from runloom.session import FREED, configure, settings, shared_dir, spread
+from runloom.session import FREED, SMALL_METHODS, configure, settings, shared_dir, spread
 from runloom.sources.messages import parse_job_messages, parse_log_messages, valid_rows
 from runloom.sources.streams import append_files, file_messages, table_stream
 from runloom.sources.tables import read_table, write_batch
@@ -83,13 +83,15 @@ def _joined_logs(spark, sf) -> str:
     part = lambda moment: F.floor(F.dayofmonth(moment) / 8)
     # Parsed once for all files.
     parsed = valid_rows(parse_log_messages(fx.log_messages(spark, sf)))
-    parsed.withColumn("part", part("job_timestamp")).write.partitionBy("part").parquet(f"{path}/parsed")
+    with settings(spark, {**FREED, **SMALL_METHODS}):
+        parsed.withColumn("part", part("job_timestamp")).write.partitionBy("part").parquet(f"{path}/parsed")
     lines = spark.read.schema(parsed.withColumn("part", F.lit(0)).schema).parquet(f"{path}/parsed")
     runs = fx.job_runs(spark, sf).select("queue", "job_id", "enqueued_at", "id")
     late = F.pmod(F.crc32("job_id"), F.lit(2))
-    for k in range(5):
-        append_files(lines.filter(F.col("part") == k).drop("part").repartition(files), f"{path}/lines", files)
-        append_files(runs.filter(part("enqueued_at") + late == k).repartition(files), f"{path}/runs", files)
+    with settings(spark, FREED):
+        for k in range(5):
+            append_files(lines.filter(F.col("part") == k).drop("part").repartition(files), f"{path}/lines", files)
+            append_files(runs.filter(part("enqueued_at") + late == k).repartition(files), f"{path}/runs", files)
     # What comes last says how far time has got: nothing earlier is to be expected.
     end = F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")
     lines = lines.drop("part")

@@ -22,6 +22,10 @@ CONTRACT = {
 # Files of a shuffle go with the execution that wrote them, not when the driver's heap happens to be collected.
 FREED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
+# The JVM never compiles methods beyond this many bytes, which generated code for parsing soon has;
+# Spark then evaluates its expressions in smaller ones.
+SMALL_METHODS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Put the contract settings on an existing session."""

@@ -4,7 +4,8 @@ Lines and runs come in any order. Both sides carry a watermark on the creation
 time of the job, which is part of the join key: a line waits in the state of the
 join until its run comes, and when the watermark has passed its job it leaves as
 unresolved, once. So there is no buffer to drain, and what waits is bounded by
-``late_by``.
+``late_by``. It waits in RocksDB, on the executors' disks and in the checkpoint,
+not in their heaps.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 from runloom.operators.logs import resolved
 from runloom.schemas import BUFFER_KEY
 from runloom.sources.tables import write_batch
+from runloom.streaming.state import rocksdb
+
+# The two sides of the join share one store instead of two each.
+_JOIN = {"spark.sql.streaming.join.stateFormatVersion": "3"}
 
 
 def resolve_stream(lines: DataFrame, runs: DataFrame, late_by: str) -> DataFrame:
@@ -46,8 +51,7 @@ def ingest_resolved(lines: DataFrame, runs: DataFrame, path: str, checkpoint: st
         finally:
             rows.unpersist()
 
-    writer = resolve_stream(lines, runs, late_by).writeStream.foreachBatch(handle).outputMode("append").option(
-        "checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
-
-
+    with rocksdb(lines.sparkSession, _JOIN):
+        writer = resolve_stream(lines, runs, late_by).writeStream.foreachBatch(handle).outputMode("append").option(
+            "checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer).start()

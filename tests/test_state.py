@@ -145,6 +145,9 @@ def test_lines_and_runs_meet_in_either_order(spark, folder):
     assert sorted((r.job_run_id, r.log_seq) for r in logs.collect()) == [("1", 0), ("2", 1)]
     assert [r.job_id for r in spark.read.parquet(f"{folder}/out/unresolved").collect()] == ["never"]
     assert logs.filter(F.col("id").isNull()).count() == 0
+    # What waits lies on disk, one store for both sides of the join, and not in the heap.
+    assert glob.glob(f"{folder}/cp/state/0/0/*.zip")
+    assert not glob.glob(f"{folder}/cp/state/*/*/*.delta") + glob.glob(f"{folder}/cp/state/0/0/left*")
 
 
 class Store:
